@@ -33,3 +33,15 @@ def target_ids(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d)
     first = c.groupBy("title").agg(F.min("doc_id").alias("doc_id"))
     return c.join(first.select("doc_id"), "doc_id", "left_semi").select("descriptor")
+
+
+_MODELS: dict = {}
+
+
+def fitted(spark: SparkSession, d: str, name: str, fit):
+    """Fit a model once per (session, dataset, name) and reuse it: models are
+    returned and passed on, never refitted for each report."""
+    key = (id(spark.sparkContext), d, name)
+    if key not in _MODELS:
+        _MODELS[key] = fit()
+    return _MODELS[key]

@@ -27,6 +27,9 @@ def build_session(master: str | None = None, app: str = "revlens",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster
+            builder = builder.config("spark.driver.memory", "16g")
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
