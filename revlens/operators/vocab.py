@@ -120,8 +120,7 @@ def clean_map(vocab: DataFrame, lexicon: DataFrame | None = None,
     joined only once.
     """
     lm = lemma_map(vocab, lexicon)
-    stop = T.lit_array(sorted(set(stop_words)))
-    kept = lm.select("lemma").where(~F.array_contains(stop, F.col("lemma")))
+    kept = lm.select("lemma").where(T.not_stop_word(F.col("lemma"), stop_words))
     stems = stem_map(kept).toDF("lemma", "stem")
     # stop-word lemmas find no stem -> null term -> dropped by the caller
     return lm.join(stems, "lemma", "left").select("token", F.col("stem").alias("term"))

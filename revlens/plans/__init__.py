@@ -6,4 +6,4 @@ independent check.  Importing this package imports every catalog module.
 """
 
 from .registry import QUERIES, ORACLE_SQL  # noqa: F401
-from . import catalog_text, catalog_tfidf, catalog_ml, catalog_graph, catalog_vec  # noqa: F401,E402
+from . import catalog_text, catalog_tfidf, catalog_ml, catalog_graph, catalog_vec, catalog_io  # noqa: F401,E402

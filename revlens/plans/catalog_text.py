@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.ml.feature import StopWordsRemover
 
 from ..functions import text as T
 from ..functions.words import ENGLISH_STOP_WORDS
@@ -169,20 +168,16 @@ def union_distinct(spark, d):
     return R.union_distinct(a, b)
 
 
-_SPARK_STOP = StopWordsRemover.loadDefaultStopWords("english")
-
-
-@register("stopword_union", "SELECT w AS word FROM (SELECT unnest(" + S.list_lit(ENGLISH_STOP_WORDS) + ") AS w UNION SELECT unnest("
-          + S.list_lit(_SPARK_STOP) + ") UNION SELECT ' ' UNION SELECT '' "
-          + "UNION SELECT DISTINCT unnest(" + S.tokenize(S.normalize('text')) + ") FROM benchmark)")
+@register("stopword_union", "SELECT w AS word FROM (SELECT unnest(" + S.list_lit(ENGLISH_STOP_WORDS) + ") AS w "
+          "UNION SELECT ' ' UNION SELECT '' "
+          "UNION SELECT DISTINCT unnest(" + S.tokenize(S.normalize('text')) + ") FROM benchmark)")
 def stopword_union(spark, d):
-    # the library list, Spark's own English list, the two blank tokens, plus the
-    # word list of a user table (here the benchmark items)
-    a = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "word string")
-    b = spark.createDataFrame([(w,) for w in _SPARK_STOP] + [(" ",), ("",)], "word string")
+    # the library list, the two blank tokens and a second, user-supplied word
+    # list (here: the words of the benchmark table)
+    a = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS] + [(" ",), ("",)], "word string")
     bench = C.fixtures.load_table(spark, d, "benchmark")
     c = bench.select(F.explode(T.tokenize_words(T.normalize_text("text"))).alias("word"))
-    return R.union_distinct(a, b, c)
+    return R.union_distinct(a, c)
 
 
 @register("append_rows", "SELECT 'documents' AS src, item AS id, text FROM (SELECT doc_id AS item, coalesce(text,'') AS text FROM documents) "

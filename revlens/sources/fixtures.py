@@ -20,10 +20,25 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over the cluster when it yields too few splits.
+
+    Text work is per row and CPU-bound, so a file written as one row group
+    (one split) would run on one core.  Only then is the table hash-partitioned
+    on ``key`` (deterministic, so a lost task recomputes the same rows); a large
+    input already yields at least ``defaultParallelism`` splits and is left as
+    it is - no shuffle of the raw text.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` with a null text read as empty (never the token 'nan')."""
-    return (load_table(spark, sf_dir, "documents")
-            .select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return balanced(docs, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +48,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     an unlabeled review keeps a null review type).  Both sides grow with the
     data, so this is a plain shuffle/sort-merge join on a unique key - no skew.
     """
-    docs = load_table(spark, sf_dir, "documents")
+    docs = balanced(load_table(spark, sf_dir, "documents"), "doc_id")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
     review = (F.when(F.col("quality") == 1, F.lit("Positive"))
               .when(F.col("quality") == 0, F.lit("Negative")))
