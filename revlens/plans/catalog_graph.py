@@ -244,3 +244,24 @@ def entity_graph(spark, d):
     g = G.build_graph_one_pass(A.rule_annotate(one))
     words = A.flatten_ner(A.extract_ner(one, "text")).select(F.lower("entity").alias("p"))
     return G.filter_graph_by_patterns(g, words)
+
+
+@register("filter_graph_by_patterns", _KG_SQL + """, pats AS (SELECT r_name AS p FROM region UNION SELECT 'NATION_1')
+SELECT source, target, edge FROM kg WHERE EXISTS (SELECT 1 FROM pats WHERE contains(kg.source, p) OR contains(kg.target, p))""")
+def filter_graph_by_patterns(spark, d):
+    """Star-schema edges touching any region name or containing 'NATION_1' (literal substrings)."""
+    pats = (C.fixtures.load_table(spark, d, "region").select(F.col("r_name").alias("p"))
+            .unionByName(spark.createDataFrame([("NATION_1",)], "p string")))
+    return G.filter_graph_by_patterns(kg_edges(spark, d), pats)
+
+
+@register("pattern_join", _EXTRACT_CTE + ", g AS (" + _GRAPH_SELECT + "), "
+          "pats AS (SELECT DISTINCT lower(w) AS p FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 4) "
+          "SELECT doc_id, sent_id, source, target, edge FROM g WHERE EXISTS (SELECT 1 FROM pats WHERE contains(g.source, p) OR contains(g.target, p))")
+def pattern_join(spark, d):
+    """Corpus graph edges whose ends contain a word (4+ letters) of the benchmark items."""
+    g = G.build_graph_one_pass(nested_tokens(spark, d))
+    bench = C.fixtures.load_table(spark, d, "benchmark")
+    pats = (bench.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w"))
+            .where(F.length("w") >= 4).select(F.lower("w").alias("p")))
+    return G.filter_graph_by_patterns(g, pats)

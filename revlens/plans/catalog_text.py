@@ -309,3 +309,23 @@ def stem(spark, d):
 def clean_tokens(spark, d):
     t = V.clean_tokens(C.docs(spark, d))
     return t.select("doc_id", T.join_tokens("tokens").alias("tokens"))
+
+
+@register("vocab_join", f"""WITH tr AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+   WHERE substr(md5('1:' || CAST(doc_id AS VARCHAR)), 1, 8) < 'cccccccc'),
+te AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+   WHERE substr(md5('1:' || CAST(doc_id AS VARCHAR)), 1, 8) >= 'cccccccc'),
+dict AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS term_id FROM (SELECT DISTINCT unnest({S.tokenize(S.normalize('text'))}) AS token FROM tr)),
+occ AS (SELECT doc_id, unnest({S.tokenize(S.normalize('text'))}) AS token FROM te)
+SELECT o.doc_id, CAST(d.term_id AS BIGINT) AS term_id, count(*) AS n FROM occ o JOIN dict d ON o.token = d.token GROUP BY o.doc_id, d.term_id""")
+def vocab_join(spark, d):
+    """Token -> dictionary id for held-out reviews (dictionary from the train part,
+    ids in sorted order by a distributed running count); unknown tokens dropped."""
+    from ..operators import split as SP
+    from ..operators.metrics import running_sums
+    toks = SP.split_train_test(V.tokenize(C.docs(spark, d)), "doc_id", 0.8, seed=1)
+    vocab = V.distinct_tokens(toks.where("split = 'train'")).withColumn("one", F.lit(1)).withColumn("_g", F.lit(0))
+    ids = running_sums(vocab, ["_g"], [F.col("token")], ["one"]).select(
+        F.col("token").alias("term"), (F.col("cum_one") - 1).alias("term_id"))
+    bow = V.bag_of_words(toks.where("split = 'test'"))
+    return bow.join(ids, "term").select("doc_id", F.col("term_id").cast("bigint").alias("term_id"), "n")

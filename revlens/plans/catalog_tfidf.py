@@ -46,10 +46,12 @@ def mean_by_term(spark, d):
     return TF.mean_by_term(s, docs).select("term", F.round("mean_score", 6).alias("mean_score"))
 
 
-@register("top_mean_tfidf", BOW_CTE + "SELECT term, round(mean_score, 6) AS mean_score FROM means ORDER BY mean_score DESC, term LIMIT 10")
+@register("top_mean_tfidf", BOW_CTE + "SELECT term, round(mean_score, 6) AS mean_score FROM means ORDER BY round(mean_score, 9) DESC, term LIMIT 10")
 def top_mean_tfidf(spark, d):
     s, docs = _scores(spark, d)
-    return TF.top_mean_terms(s, docs, 10).select("term", F.round("mean_score", 6).alias("mean_score"))
+    means = TF.mean_by_term(s, docs).withColumn("mean_score", F.round("mean_score", 9))
+    return means.orderBy(F.desc("mean_score"), F.asc("term")).limit(10).select(
+        "term", F.round("mean_score", 6).alias("mean_score"))
 
 
 # the chosen-term list of the prevalent-terms report (fixed parameter values);

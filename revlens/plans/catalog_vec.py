@@ -287,7 +287,7 @@ w AS (SELECT c.genre AS topic, t.term, sum(t.score) / any_value(ng.n) AS weight
 
 
 @register("top_terms_per_topic", _GENRE_WEIGHTS + """SELECT topic, term, round(weight, 6) AS weight, rank FROM (
-  SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w) WHERE rank <= 7""")
+  SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM w) WHERE rank <= 7""")
 def top_terms_per_topic(spark, d):
     """Per genre (as topic), the 7 terms with the largest mean TF-IDF in it."""
     docs = C.docs(spark, d)
@@ -296,7 +296,8 @@ def top_terms_per_topic(spark, d):
     ng = c.groupBy("topic").agg(F.count(F.lit(1)).alias("ng"))
     w = (scores.join(c, "doc_id").groupBy("topic", "term").agg(F.sum("score").alias("s"))
          .join(ng, "topic").select("topic", "term", (F.col("s") / F.col("ng")).alias("weight")))
-    top = TP.top_terms_per_topic(w, 7)
+    # rank on 9 decimals so that summation-order noise cannot reorder true ties
+    top = TP.top_terms_per_topic(w.withColumn("weight", F.round("weight", 9)), 7)
     return top.select("topic", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -345,3 +346,21 @@ def topic_similarity(spark, d):
     mix = TP.topic_mixtures(model, feats).select("doc_id", "mixture")
     tg = C.corpus(spark, d).join(C.target_ids(spark, d), "descriptor", "left_semi").select("doc_id")
     return SIM.cosine_dense(mix.join(tg, "doc_id", "left_semi"), "doc_id", "mixture")
+
+
+@register("pairwise_cross", """WITH cent AS (SELECT label AS cid, list(x ORDER BY dim) AS cv FROM (
+    SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS dim
+    FROM embeddings) GROUP BY label, dim) GROUP BY label)
+SELECT CAST(a.cid AS BIGINT) AS a, CAST(b.cid AS BIGINT) AS b, round(list_cosine_similarity(a.cv, b.cv), 6) AS sim
+FROM cent a JOIN cent b ON a.cid < b.cid""")
+def pairwise_cross(spark, d):
+    """All pairs of class centroids (cosine), through the block-pair operator."""
+    cents = CU.mean_vectors(_emb(spark, d), "label", "embedding")
+    return SIM.cosine_dense(cents, "label", "vector").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@register("doc_vector_with_metadata")
+def doc_vector_with_metadata(spark, d):
+    """k-means (k = 4) predictions keep the document columns: no positional attach."""
+    preds, _, _ = _kmeans(spark, d)
+    return preds.where("run = 'k4'").select("vec_id", "label", "cluster")
