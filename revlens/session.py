@@ -63,3 +63,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``revlens`` importable in Python workers (pandas UDFs reference it).
+
+    Zips the package once per SparkContext and registers it with
+    ``addPyFile``; Spark distributes the archive to every executor.
+    """
+    import shutil
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="revlens-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "revlens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
