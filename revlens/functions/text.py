@@ -151,3 +151,20 @@ def lower_words(words) -> Column:
 def escape_html_brackets(c) -> Column:
     """``<``/``>`` -> ``&lt;``/``&gt;`` (the escaped-HTML form ``remove_tags`` expects)."""
     return F.replace(F.replace(_c(c), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+# --- exploding computed arrays ------------------------------------------------
+# ``explode(f(x))`` makes the optimizer infer a ``size(f(x)) > 0`` filter and push
+# it below any exchange under the generator, so ``f`` (e.g. the whole
+# tokeniser) would run twice, the first time before the data is spread out.
+# The outer generators infer nothing; the null row of an empty array is then
+# dropped on the generated column, which cannot move below the generator.
+
+def explode_rows(df, keep, arr, alias: str):
+    """Rows ``keep + [alias]``, one per element of ``arr`` (no empty-array rows)."""
+    return df.select(*keep, F.explode_outer(arr).alias(alias)).where(F.col(alias).isNotNull())
+
+
+def posexplode_rows(df, keep, arr, pos: str, alias: str):
+    """Like ``explode_rows`` with the 0-based element position in ``pos``."""
+    return df.select(*keep, F.posexplode_outer(arr).alias(pos, alias)).where(F.col(pos).isNotNull())

@@ -35,7 +35,7 @@ def rule_annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """Sentences -> letter-run words -> cyclic dep/pos labels (no shuffle)."""
     deps = T.lit_array(DEP_CYCLE)
     poss = T.lit_array(POS_CYCLE)
-    s = docs.select("doc_id", F.posexplode(T.sentences(F.col(text))).alias("sent_id", "sentence"))
+    s = T.posexplode_rows(docs, ["doc_id"], T.sentences(F.col(text)), "sent_id", "sentence")
     toks = F.transform(T.words_of("sentence"), lambda w, i: F.struct(
         i.alias("idx"), w.alias("text"),
         F.element_at(deps, i % 7 + 1).alias("dep"), F.element_at(poss, i % 7 + 1).alias("pos")))
@@ -50,7 +50,7 @@ def nest_tokens(long: DataFrame) -> DataFrame:
 
 
 def flatten_tokens(nested: DataFrame) -> DataFrame:
-    return nested.select("doc_id", "sent_id", F.explode("tokens").alias("t")).select(
+    return T.explode_rows(nested, ["doc_id", "sent_id"], F.col("tokens"), "t").select(
         "doc_id", "sent_id", "t.idx", "t.text", "t.dep", "t.pos")
 
 
@@ -85,7 +85,7 @@ def extract_ner(df: DataFrame, text: str, predict_fn=regex_ner_predict) -> DataF
 
 def flatten_ner(df: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Nested spans -> rows ``entity, type, score, start, end``."""
-    return (df.select(*keys, F.posexplode("spans").alias("span_id", "s"))
+    return (T.posexplode_rows(df, list(keys), F.col("spans"), "span_id", "s")
             .select(*keys, "span_id", F.col("s.word").alias("entity"), F.col("s.entity_group").alias("type"),
                     F.col("s.score").alias("score"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))
 

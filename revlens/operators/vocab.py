@@ -30,17 +30,17 @@ def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def explode_tokens(df: DataFrame, tokens: str = "tokens", term: str = "term") -> DataFrame:
     """``(doc_id, pos, term)``: one row per token occurrence (position kept)."""
-    return df.select("doc_id", F.posexplode(tokens).alias("pos", term))
+    return T.posexplode_rows(df, ["doc_id"], F.col(tokens), "pos", term)
 
 
 def distinct_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Sorted distinct tokens over all documents (sorted on output only)."""
-    return df.select(F.explode(tokens).alias("token")).distinct()
+    return T.explode_rows(df, [], F.col(tokens), "token").distinct()
 
 
 def bag_of_words(df: DataFrame, tokens: str = "tokens", min_len: int = 1) -> DataFrame:
     """``(doc_id, term, n)`` term counts per document (long, never wide)."""
-    t = df.select("doc_id", F.explode(tokens).alias("term"))
+    t = T.explode_rows(df, ["doc_id"], F.col(tokens), "term")
     if min_len > 1:
         t = t.where(F.length("term") >= min_len)
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))

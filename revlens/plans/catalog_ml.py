@@ -164,7 +164,7 @@ def _nb_inputs(spark, d):
     docs = C.fixtures.load_table(spark, d, "documents").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label"))
     docs = SP.split_train_test(docs, "doc_id", 0.8, seed=1)
-    bow = (docs.select("doc_id", F.explode(CL.sk_tokens("text")).alias("term"))
+    bow = (T.explode_rows(docs, ["doc_id"], CL.sk_tokens("text"), "term")
            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
     train = docs.where("split = 'train'")
     train_bow = bow.join(train.select("doc_id"), "doc_id", "left_semi")

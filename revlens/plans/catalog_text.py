@@ -154,7 +154,7 @@ def align_by_position(spark, d):
     c = C.docs(spark, d).select("doc_id", T.sentences("text").alias("s"))
     c = c.select("doc_id", F.arrays_zip(F.col("s").alias("sentence"),
                                         F.transform("s", lambda x: F.size(T.words_of(x)).cast("bigint")).alias("n_words")).alias("z"))
-    return c.select("doc_id", F.posexplode("z").alias("sent_id", "r")).select(
+    return T.posexplode_rows(c, ["doc_id"], F.col("z"), "sent_id", "r").select(
         "doc_id", "sent_id", "r.sentence", "r.n_words")
 
 
@@ -176,7 +176,7 @@ def stopword_union(spark, d):
     # list (here: the words of the benchmark table)
     a = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS] + [(" ",), ("",)], "word string")
     bench = C.fixtures.load_table(spark, d, "benchmark")
-    c = bench.select(F.explode(T.tokenize_words(T.normalize_text("text"))).alias("word"))
+    c = T.explode_rows(bench, [], T.tokenize_words(T.normalize_text("text")), "word")
     return R.union_distinct(a, c)
 
 
@@ -257,7 +257,7 @@ def clean_non_ascii(spark, d):
 SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_id, unnest(s) AS sentence
 FROM (SELECT doc_id, {S.sentences("coalesce(text,'')")} AS s FROM documents)""")
 def sentences(spark, d):
-    return (C.docs(spark, d).select("doc_id", F.posexplode(T.sentences("text")).alias("sent_id", "sentence")))
+    return T.posexplode_rows(C.docs(spark, d), ["doc_id"], T.sentences("text"), "sent_id", "sentence")
 
 
 @register("flatten_sentences", CORPUS + f"""
@@ -265,7 +265,7 @@ SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_id, unnest
 FROM (SELECT doc_id, {S.sentences('text')} AS s FROM corpus WHERE title = 'src7')""")
 def flatten_sentences(spark, d):
     one = C.corpus(spark, d).where(F.col("title") == "src7")
-    return one.select("doc_id", F.posexplode(T.sentences("text")).alias("sent_id", "sentence"))
+    return T.posexplode_rows(one, ["doc_id"], T.sentences("text"), "sent_id", "sentence")
 
 
 @register("lower_words", f"""

@@ -28,7 +28,7 @@ def plain_bow(spark: SparkSession, d: str) -> DataFrame:
     """Bag of words of the plain chain; stop words are filtered after the
     explode (a codegen'd hash-set test instead of a per-array lambda)."""
     toks = docs(spark, d).select("doc_id", T.tokenize_words(T.normalize_text(F.col("text"))).alias("t"))
-    occ = toks.select("doc_id", F.explode("t").alias("term")).where(T.not_stop_word(F.col("term")))
+    occ = T.explode_rows(toks, ["doc_id"], F.col("t"), "term").where(T.not_stop_word(F.col("term")))
     return occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
