@@ -160,14 +160,20 @@ def argmax_label(spark, d):
 
 # --- TF-IDF features fitted on train, Naive Bayes -----------------------------------------
 
-def _nb_inputs(spark, d):
+def _labelled_docs(spark, d):
     docs = C.fixtures.load_table(spark, d, "documents").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label"))
-    docs = SP.split_train_test(docs, "doc_id", 0.8, seed=1)
-    bow = (T.explode_rows(docs, ["doc_id"], CL.sk_tokens("text"), "term")
-           .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
-    train = docs.where("split = 'train'")
-    train_bow = bow.join(train.select("doc_id"), "doc_id", "left_semi")
+    return SP.split_train_test(C.fixtures.balanced(docs, "doc_id"), "doc_id", 0.8, seed=1)
+
+
+def _nb_inputs(spark, d):
+    docs = _labelled_docs(spark, d)
+    # the bag of words feeds the vocabulary cap, the idf, both parts' features and
+    # the class counts: it is written once instead of re-tokenising per branch
+    bow = C.materialize(T.explode_rows(docs, ["doc_id"], CL.sk_tokens("text"), "term")
+                        .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    train = docs.select("doc_id", "label", "split").where("split = 'train'")
+    train_bow = SP.split_train_test(bow, "doc_id", 0.8, seed=1).where("split = 'train'").drop("split")
     feats = TF.tfidf_l2(train_bow, train, bow, 4000)
     return docs, train, train_bow, feats
 
@@ -239,9 +245,7 @@ def naive_bayes_confusion(spark, d):
 @register("linear_svm")
 def linear_svm(spark, d):
     """One-vs-rest linear SVMs, C = 1, on capped TF-IDF; predictions on the test part."""
-    docs = C.fixtures.load_table(spark, d, "documents").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label"))
-    docs = SP.split_train_test(docs, "doc_id", 0.8, seed=1)
+    docs = _labelled_docs(spark, d)
     mapping = SP.label_index(docs, "label")
     docs = SP.encode_labels(docs, "label", mapping).withColumn("label_index", F.col("label_index").cast("double"))
     _, out = CL.linear_svm(docs.where("split = 'train'"), docs.where("split = 'test'"))
