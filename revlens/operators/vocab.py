@@ -71,12 +71,14 @@ def lemma_map(vocab: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """
     vocab = vocab.select(F.col(vocab.columns[0]).alias("token")).distinct()
     lex = (lexicon if lexicon is not None else vocab)
-    lex = lex.select(F.col(lex.columns[0]).alias("cand")).distinct()
-    kept = lemma_candidates(vocab).join(lex, "cand", "left_semi")
-    best = (kept.groupBy("token")
-            .agg(F.min_by("cand", F.struct(F.length("cand"), F.col("ord"))).alias("lemma")))
-    return (vocab.join(best, "token", "left")
-            .select("token", F.coalesce("lemma", "token").alias("lemma")))
+    lex = lex.select(F.col(lex.columns[0]).alias("cand")).distinct().withColumn("known", F.lit(True))
+    cands = lemma_candidates(vocab).join(lex, "cand", "left")
+    known = F.col("known").isNotNull()
+    # known candidates first, shortest, earliest rule; with none known every key
+    # ties on (true, 0) and the token itself (ord 0) wins
+    key = F.struct((~known).alias("unknown"), F.when(known, F.length("cand")).otherwise(0).alias("len"),
+                   F.col("ord"))
+    return cands.groupBy("token").agg(F.min_by("cand", key).alias("lemma"))
 
 
 # --- stems ---------------------------------------------------------------------
@@ -120,10 +122,11 @@ def clean_map(vocab: DataFrame, lexicon: DataFrame | None = None,
     joined only once.
     """
     lm = lemma_map(vocab, lexicon)
-    kept = lm.select("lemma").where(T.not_stop_word(F.col("lemma"), stop_words))
-    stems = stem_map(kept).toDF("lemma", "stem")
-    # stop-word lemmas find no stem -> null term -> dropped by the caller
-    return lm.join(stems, "lemma", "left").select("token", F.col("stem").alias("term"))
+    # lemmas are about as many as tokens, so they are stemmed in place (Arrow
+    # batches) rather than deduplicated and joined back; stop-word lemmas map to
+    # null, which the caller drops
+    return lm.select("token", F.when(T.not_stop_word(F.col("lemma"), stop_words), _stem_udf("lemma"))
+                     .alias("term"))
 
 
 def clean_tokens(docs: DataFrame, lexicon: DataFrame | None = None,
