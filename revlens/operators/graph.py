@@ -47,8 +47,10 @@ def extract_entities(nested: DataFrame) -> DataFrame:
     e = F.lit("")
     init = F.struct(e.alias("ent1"), e.alias("ent2"), e.alias("prv_dep"), e.alias("prv_text"),
                     e.alias("prefix"), e.alias("modifier"))
-    r = F.aggregate("tokens", init, _entity_step)
-    return nested.select("doc_id", "sent_id", _strip(r["ent1"]).alias("source"), _strip(r["ent2"]).alias("target"))
+    # the fold is one named column, read twice afterwards (never copied)
+    folded = nested.select("doc_id", "sent_id", F.aggregate("tokens", init, _entity_step).alias("_e"))
+    return folded.select("doc_id", "sent_id", _strip(F.col("_e.ent1")).alias("source"),
+                         _strip(F.col("_e.ent2")).alias("target"))
 
 
 def _relation_step(acc, t):
@@ -89,21 +91,32 @@ def extract_svo(nested: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, subject, verb, object)``: first complete nsubj/ROOT/dobj."""
     e = F.lit("")
     init = F.struct(e.alias("ent1"), e.alias("root"), e.alias("ent2"), F.lit(False).alias("done"))
-    r = F.aggregate("tokens", init, _svo_step)
-    return nested.select("doc_id", "sent_id", r["ent1"].alias("subject"), r["root"].alias("verb"),
-                         r["ent2"].alias("object"))
+    folded = nested.select("doc_id", "sent_id", F.aggregate("tokens", init, _svo_step).alias("_s"))
+    return folded.select("doc_id", "sent_id", F.col("_s.ent1").alias("subject"), F.col("_s.root").alias("verb"),
+                         F.col("_s.ent2").alias("object"))
 
 
 def drop_empty_edges(df: DataFrame) -> DataFrame:
     """Lower-case the three columns and drop rows with an empty source, target or
-    edge.  Missing values are *not* empty: a null edge (failed relation) stays."""
-    out = df.select(*[F.lower(c).alias(c) for c in ("source", "target", "edge")], *[
-        c for c in df.columns if c not in ("source", "target", "edge")])
-    keep = None
-    for c in ("source", "target", "edge"):
-        cond = F.col(c).isNull() | (F.col(c) != "")
-        keep = cond if keep is None else keep & cond
-    return out.where(keep)
+    edge.  Missing values are *not* empty: a null edge (failed relation) stays.
+
+    The test runs inside a generator (a one-element array filtered, then
+    exploded) rather than as a Filter: predicate pushdown would otherwise copy
+    the expressions that produce the three columns (the extraction folds) into
+    the condition and evaluate them twice.
+    """
+    from ..functions.text import explode_rows
+    keys = [c for c in df.columns if c not in ("source", "target", "edge")]
+    edge = F.struct(*[F.lower(c).alias(c) for c in ("source", "target", "edge")])
+
+    def keep(e):
+        cond = None
+        for c in ("source", "target", "edge"):
+            x = e[c].isNull() | (e[c] != "")
+            cond = x if cond is None else cond & x
+        return cond
+    x = df.select(*keys, F.filter(F.array(edge), keep).alias("_edges"))
+    return explode_rows(x, keys, F.col("_edges"), "_g").select(*keys, "_g.source", "_g.target", "_g.edge")
 
 
 def build_graph(nested: DataFrame) -> DataFrame:
@@ -120,10 +133,10 @@ def build_graph_one_pass(nested: DataFrame) -> DataFrame:
     init_e = F.struct(e.alias("ent1"), e.alias("ent2"), e.alias("prv_dep"), e.alias("prv_text"),
                       e.alias("prefix"), e.alias("modifier"))
     init_r = F.struct(F.lit(None).cast("string").alias("rel"), F.lit(0).alias("stage"))
-    ent = F.aggregate("tokens", init_e, _entity_step)
-    rel = F.aggregate("tokens", init_r, _relation_step)
-    g = nested.select("doc_id", "sent_id", _strip(ent["ent1"]).alias("source"),
-                      _strip(ent["ent2"]).alias("target"), rel["rel"].alias("edge"))
+    folded = nested.select("doc_id", "sent_id", F.aggregate("tokens", init_e, _entity_step).alias("_e"),
+                           F.aggregate("tokens", init_r, _relation_step).alias("_r"))
+    g = folded.select("doc_id", "sent_id", _strip(F.col("_e.ent1")).alias("source"),
+                      _strip(F.col("_e.ent2")).alias("target"), F.col("_r.rel").alias("edge"))
     return drop_empty_edges(g)
 
 
