@@ -174,7 +174,8 @@ def _nb_inputs(spark, d):
                         .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
     train = docs.select("doc_id", "label", "split").where("split = 'train'")
     train_bow = SP.split_train_test(bow, "doc_id", 0.8, seed=1).where("split = 'train'").drop("split")
-    feats = TF.tfidf_l2(train_bow, train, bow, 4000)
+    # the L2-normalised features feed fitting, both parts and the feature sums
+    feats = C.materialize(TF.tfidf_l2(train_bow, train, bow, 4000))
     return docs, train, train_bow, feats
 
 
