@@ -90,17 +90,31 @@ def text_features_pipeline(max_features: int = 4000, input_col: str = "text"):
     ])
 
 
+def solver_partitions(cached: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
+    """Coalesce already-materialised training data to ceil(n / rows_per_partition)
+    partitions: iterative MLlib solvers pay one job per step, so tiny partitions
+    only add overhead, while large inputs keep their parallelism."""
+    import math
+    target = max(1, math.ceil(n_rows / rows_per_partition))
+    return cached.coalesce(target) if target < cached.rdd.getNumPartitions() else cached
+
+
 def linear_svm(train: DataFrame, test: DataFrame, label_col: str = "label_index",
                C: float = 1.0, max_iter: int = 25):
     """One-vs-rest linear SVMs on TF-IDF features; regParam = 1 / (C n)."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LinearSVC, OneVsRest
-    n = train.count()
+    feats = text_features_pipeline().fit(train)
+    # the iterative solver reads the training features once per iteration and
+    # class: keep them (not the raw text) in memory for the fit only, in as many
+    # partitions as their row count warrants (each iteration is one job)
+    x0 = feats.transform(train).select(label_col, "features").persist()
+    n = x0.count()
+    x = solver_partitions(x0, n)
     svc = LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter)
-    pipe = Pipeline(stages=[text_features_pipeline(),
-                            OneVsRest(classifier=svc, labelCol=label_col, featuresCol="features",
-                                      parallelism=4)])
-    model = pipe.fit(train)
+    ovr = OneVsRest(classifier=svc, labelCol=label_col, featuresCol="features", parallelism=4).fit(x)
+    x0.unpersist()
+    model = PipelineModel(stages=[feats, ovr])
     return model, model.transform(test)
 
 
@@ -109,7 +123,9 @@ def mlp_classifier(train: DataFrame, test: DataFrame, layers: list[int], label_c
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     mlp = MultilayerPerceptronClassifier(layers=layers, labelCol=label_col, featuresCol=features_col,
                                          maxIter=max_iter, seed=seed)
-    model = mlp.fit(train)
+    x0 = train.select(label_col, features_col).persist()
+    model = mlp.fit(solver_partitions(x0, x0.count()))
+    x0.unpersist()
     return model, model.transform(test)
 
 
