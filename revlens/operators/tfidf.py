@@ -71,6 +71,20 @@ def mean_by_term(scores: DataFrame, docs: DataFrame) -> DataFrame:
     return scores.groupBy("term").agg((F.sum("score") / n).alias("mean_score"))
 
 
+def term_stats(bow: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(term, df, total, idf, mean_score)`` straight from the counts.
+
+    idf is constant per term, so the sum of a term's TF-IDF over documents is
+    idf x (its total count): the mean needs one aggregation by term and no join
+    of the scores back to the bag of words.
+    """
+    n = n_docs(docs)
+    g = bow.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    idf = F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1
+    return (g.withColumn("idf", idf)
+            .withColumn("mean_score", F.col("total") * F.col("idf") / n))
+
+
 def top_mean_terms(scores: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     return mean_by_term(scores, docs).orderBy(F.desc("mean_score"), F.asc("term")).limit(k)
 

@@ -20,10 +20,15 @@ BOW_CTE = f"WITH bow AS (SELECT doc_id, term, count(*) AS n FROM ({_TOK}) GROUP
 
 
 def _scores(spark, d):
-    docs = C.docs(spark, d)
+    docs = C.doc_rows(spark, d)
     return TF.tfidf(C.plain_bow(spark, d), docs), docs
 
 
+def _means(spark, d):
+    """Mean TF-IDF per term over all documents, from the counts (no join back)."""
+    return TF.term_stats(C.plain_bow(spark, d), C.doc_rows(spark, d))
+
+
 @register("bag_of_words", BOW_CTE + "SELECT doc_id, term, n FROM bow")
 def bag_of_words(spark, d):
     return C.plain_bow(spark, d)
@@ -42,14 +47,12 @@ def tfidf(spark, d):
 
 @register("mean_by_term", BOW_CTE + "SELECT term, round(mean_score, 6) AS mean_score FROM means")
 def mean_by_term(spark, d):
-    s, docs = _scores(spark, d)
-    return TF.mean_by_term(s, docs).select("term", F.round("mean_score", 6).alias("mean_score"))
+    return _means(spark, d).select("term", F.round("mean_score", 6).alias("mean_score"))
 
 
 @register("top_mean_tfidf", BOW_CTE + "SELECT term, round(mean_score, 6) AS mean_score FROM means ORDER BY round(mean_score, 9) DESC, term LIMIT 10")
 def top_mean_tfidf(spark, d):
-    s, docs = _scores(spark, d)
-    means = TF.mean_by_term(s, docs).withColumn("mean_score", F.round("mean_score", 9))
+    means = _means(spark, d).withColumn("mean_score", F.round("mean_score", 9))
     return means.orderBy(F.desc("mean_score"), F.asc("term")).limit(10).select(
         "term", F.round("mean_score", 6).alias("mean_score"))
 
@@ -64,8 +67,10 @@ SELECT term, round_even(mean_score, 2) AS mean_score FROM means
 WHERE term IN (SELECT unnest({S.list_lit(PREVALENT)}))
 ORDER BY mean_score DESC, term LIMIT 10""")
 def prevalent_terms(spark, d):
-    s, docs = _scores(spark, d)
-    return TF.prevalent_terms(s, docs, PREVALENT, 10, 2)
+    chosen = spark.createDataFrame([(t,) for t in PREVALENT], "term string")
+    means = _means(spark, d).join(chosen, "term", "left_semi")
+    return (means.orderBy(F.desc("mean_score"), F.asc("term")).limit(10)
+            .select("term", F.bround("mean_score", 2).alias("mean_score")))
 
 
 @register("term_subset", BOW_CTE + f"""
@@ -80,16 +85,19 @@ def term_subset(spark, d):
 SELECT (SELECT n_docs FROM nd) AS n_docs, count(DISTINCT term) AS vocab_size,
        round(sum(score) / ((SELECT n_docs FROM nd) * count(DISTINCT term)), 6) AS mean_mean FROM tfidf""")
 def corpus_stats(spark, d):
-    s, docs = _scores(spark, d)
-    return TF.corpus_stats(s, docs).select("n_docs", "vocab_size", F.round("mean_mean", 6).alias("mean_mean"))
+    docs = C.doc_rows(spark, d)
+    m = _means(spark, d)
+    n = TF.n_docs(docs)
+    out = m.agg(n.alias("n_docs"), F.count(F.lit(1)).alias("vocab_size"),
+                (F.sum("mean_score") / F.count(F.lit(1))).alias("mean_mean"))
+    return out.select("n_docs", "vocab_size", F.round("mean_mean", 6).alias("mean_mean"))
 
 
 @register("score_histogram", BOW_CTE + """
 SELECT CAST(least(floor(mean_score / 8.0 * 100) + 1, 100) AS BIGINT) AS bin, count(*) AS n
 FROM means WHERE mean_score BETWEEN 0 AND 8 GROUP BY 1""")
 def score_histogram(spark, d):
-    s, docs = _scores(spark, d)
-    return TF.score_histogram(TF.mean_by_term(s, docs), "mean_score", 100, 0.0, 8.0)
+    return TF.score_histogram(_means(spark, d), "mean_score", 100, 0.0, 8.0)
 
 
 @register("top_terms_per_document", BOW_CTE + """

@@ -14,6 +14,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.documents(spark, d)
 
 
+def doc_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as scanned (for counting: Parquet answers from metadata,
+    without the balancing exchange)."""
+    return fixtures.load_table(spark, d, "documents").select("doc_id")
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.corpus(spark, d)
 
