@@ -78,7 +78,7 @@ def tokenize_words(c) -> Column:
     higher-order functions so it stays inside whole-stage codegen.
     """
     s = F.trim(F.regexp_replace(_c(c), _SPLIT_RE, "$1 "))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    return F.array_remove(F.split(s, " "), "")  # "" -> [""] -> []
 
 
 def not_stop_word(t: Column, stop_words=ENGLISH_STOP_WORDS) -> Column:

@@ -94,3 +94,26 @@ def test_csv_reader_handles_multiline_and_quotes(spark, tmp_path):
     assert rows[1]["text"] == 'Line one\nline "two"'
     assert rows[1]["descriptor"] == "Horror_Us_P_1"
     assert rows[2]["descriptor"] == "Horror_Us_N_2"
+
+
+def test_tokeniser_runs_once_per_row(spark):
+    """explode of a computed array must not leave an inferred size filter that
+    duplicates the tokeniser below the balancing exchange."""
+    from __spark_entry__ import queries
+    plan = queries()["bag_of_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
+    assert plan.count("regexp_replace") == 2  # normalise + contraction split, once each
+
+
+def test_extraction_folds_evaluated_once(spark):
+    from revlens.operators import annotate as A
+    from revlens.operators import graph as G
+    from revlens.sources.fixtures import documents
+    g = G.build_graph_one_pass(A.rule_annotate(documents(spark, SF)))
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
+def test_mean_tfidf_needs_no_join(spark):
+    from __spark_entry__ import queries
+    plan = queries()["top_mean_tfidf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
