@@ -226,8 +226,10 @@ def filter_graph_by_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
     patterns (a shuffle join, no nested loop) and the matching nodes are
     semi-joined back to the edges.
     """
-    p = patterns.select(F.col(patterns.columns[0]).alias("sub")).where(
-        F.col("sub").isNotNull() & (F.col("sub") != "")).distinct()
+    from ..session import materialize
+    # the distinct patterns are read twice (length bound, join): written once
+    p = materialize(patterns.select(F.col(patterns.columns[0]).alias("sub")).where(
+        F.col("sub").isNotNull() & (F.col("sub") != "")).distinct())
     max_len = p.agg(F.max(F.length("sub"))).first()[0] or 0  # one number to the driver
     nodes = frontier_union(df)
     L = F.length("node")

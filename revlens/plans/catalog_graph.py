@@ -239,8 +239,9 @@ ENTITY_TITLE = "src7"
           "SELECT doc_id, sent_id, source, target, edge FROM g "
           "WHERE EXISTS (SELECT 1 FROM pats WHERE contains(g.source, p) OR contains(g.target, p))")
 def entity_graph(spark, d):
-    one = C.fixtures.load_table(spark, d, "documents").where(F.col("source") == ENTITY_TITLE).select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = C.fixtures.balanced(
+        C.fixtures.load_table(spark, d, "documents").where(F.col("source") == ENTITY_TITLE).select("doc_id", "text"),
+        "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     g = G.build_graph_one_pass(A.rule_annotate(one))
     words = A.flatten_ner(A.extract_ner(one, "text")).select(F.lower("entity").alias("p"))
     return G.filter_graph_by_patterns(g, words)

@@ -45,13 +45,7 @@ def target_ids(spark: SparkSession, d: str) -> DataFrame:
     return c.join(first.select("doc_id"), "doc_id", "left_semi").select("descriptor")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate once into the shared checkpoint folder and read it
-    back: later branches reuse it instead of recomputing its lineage, and a lost
-    executor does not send the job back to the raw text."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import materialize  # noqa: E402,F401
 
 
 _MODELS: dict = {}

@@ -65,6 +65,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def materialize(df):
+    """Checkpoint ``df`` (eagerly) into the shared checkpoint folder: later
+    branches read it instead of recomputing its lineage, and a lost executor
+    does not send the job back to the raw input."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set = set()
 
 
