@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vocab import bag_of_words
 
 
 def n_docs(docs: DataFrame):
@@ -130,7 +129,3 @@ def term_subset(scores: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows of the chosen terms that exist in the vocabulary (semi join)."""
     t = terms.select(F.col(terms.columns[0]).alias("term"))
     return scores.join(t, "term", "left_semi")
-
-
-def bow_of(tokens: DataFrame) -> DataFrame:
-    return bag_of_words(tokens)

@@ -153,9 +153,6 @@ def _svo_fold_sql() -> str:
     return f"list_reduce(tokens, lambda a, t: CASE WHEN a.done THEN a ELSE {new} END, {{'ent1': '', 'root': '', 'ent2': '', 'done': false}})"
 
 
-_WS = S.WS_CLASS if hasattr(S, "WS_CLASS") else None
-
-
 def _strip_sql(x: str) -> str:
     from ..functions.words import WS_CLASS
     return f"regexp_replace({x}, '^[{WS_CLASS}]+|[{WS_CLASS}]+$', '', 'g')"

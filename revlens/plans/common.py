@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import fixtures
-from ..operators import vocab
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
