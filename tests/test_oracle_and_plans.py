@@ -117,3 +117,11 @@ def test_mean_tfidf_needs_no_join(spark):
     from __spark_entry__ import queries
     plan = queries()["top_mean_tfidf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_top_k_per_group_uses_group_limit(spark):
+    """row_number() <= k per group must plan a WindowGroupLimit, so a group that
+    holds a large share of rows is cut to k rows per task."""
+    from __spark_entry__ import queries
+    for name in ("top_terms_per_topic", "last_ner_per_title"):
+        assert "WindowGroupLimit" in _plan(queries()[name](spark, SF)), name
