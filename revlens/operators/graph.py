@@ -242,4 +242,5 @@ def filter_graph_by_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
     t = df.join(hit.select(F.col("node").alias("target")), "target", "left_semi")
     # (source hit) + (target hit and source not hit): every matching row once,
     # parallel edges kept, a null source handled by the anti join
-    return s.unionByName(t.join(hit.select(F.col("node").alias("source")), "source", "left_anti"))
+    out = s.unionByName(t.join(hit.select(F.col("node").alias("source")), "source", "left_anti"))
+    return out.select(*df.columns)
