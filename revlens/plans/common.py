@@ -53,7 +53,7 @@ _MODELS: dict = {}
 def fitted(spark: SparkSession, d: str, name: str, fit):
     """Fit a model once per (session, dataset, name) and reuse it: models are
     returned and passed on, never refitted for each report."""
-    key = (id(spark.sparkContext), d, name)
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _MODELS:
         _MODELS[key] = fit()
     return _MODELS[key]

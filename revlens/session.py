@@ -84,7 +84,7 @@ def ship_package(spark: SparkSession) -> None:
     """
     import shutil
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId  # unique per context, unlike id() of a Python object
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
