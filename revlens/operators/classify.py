@@ -39,9 +39,11 @@ def fit_naive_bayes(train_x: DataFrame, train_y: DataFrame, vocab_size, alpha: f
     fc = (train_x.join(train_y, "doc_id")
           .groupBy("label", "term").agg(F.sum("score").alias("fc")))
     weights = fc.select("term", "label", (F.log(F.col("fc") + alpha) - F.log(F.lit(alpha))).alias("w"))
-    n = train_y.select(F.count(F.lit(1))).scalar()
+    from pyspark.sql import Window
     totals = fc.groupBy("label").agg(F.sum("fc").alias("total"))
     counts = train_y.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
+    # the class table has k rows: its total is a window over those k rows
+    n = F.sum("cnt").over(Window.partitionBy())
     classes = (counts.join(totals, "label", "left")
                .select("label", F.log(F.col("cnt") / n).alias("prior"),
                        F.log(F.coalesce(F.col("total"), F.lit(0.0)) + F.lit(alpha) * vocab_size).alias("logden")))
