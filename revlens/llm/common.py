@@ -78,3 +78,14 @@ def text_slices(it, column: str = "text", most: int = 1 << 19):
             size += int(n)
         if lo < b.num_rows:
             yield b.slice(lo)
+
+
+_KINDS = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary",
+          pa.bool_(): "boolean"}
+
+
+def arrow_ddl(schema: pa.Schema) -> str:
+    """The Spark schema of an Arrow schema, for ``mapInArrow``."""
+    def kind(t):
+        return f"array<{kind(t.value_type)}>" if pa.types.is_list(t) else _KINDS[t]
+    return ", ".join(f"`{f.name}` {kind(f.type)}" for f in schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, only, record_batch, table, text_slices
+from .common import Scratch, arrow_ddl, only, record_batch, table, text_slices
 from .components import components
 
 #: Entries of a Misra-Gries summary: per task, and of the merged table that is broadcast (2 MB).
@@ -191,13 +191,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     s = Scratch(spark, "ngram-join")
     texts = only(docs, doc_id=doc_id, text=text)
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
-    both = s.write(keyed.mapInArrow(_features(k), _spark(_FEATURES)), "features")
+    both = s.write(keyed.mapInArrow(_features(k), arrow_ddl(_FEATURES)), "features")
     features = both.where(F.col("node").isNotNull()).select("doc_id", "text_key", "node", "n")
     heavy = [r[0] for r in both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("c"))
              .where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).select("token").collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(heavy, np.int64).view(np.uint64)))
 
-    rows = s.write(texts.select("text").mapInArrow(_signatures(k, num, den, frequent), _spark(_SIGNATURES)), "signatures")
+    rows = s.write(texts.select("text").mapInArrow(_signatures(k, num, den, frequent), arrow_ddl(_SIGNATURES)), "signatures")
     shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("z")).where("centre <> z")
     found = s.write(rows.join(shared.select("sig", "centre"), "sig"), "shared")
     s.drop("signatures")
@@ -225,12 +225,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def _spark(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int",
-             pa.binary(): "binary"}
-    return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
-
-
 def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs a < b whose sizes allow the threshold."""
     size = classes.select(F.col("node"), F.col("n"))
@@ -259,7 +253,7 @@ def _links(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num:
             .select("node", "text").dropDuplicates(["node"]))
     far = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = far.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, num, den), _spark(_LINKS))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, num, den), arrow_ddl(_LINKS))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ngram_join
+from . import ngram_join, substring_dedup
 
-_MODULES = (ngram_join,)
+_MODULES = (ngram_join, substring_dedup)
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}

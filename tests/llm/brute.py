@@ -46,3 +46,22 @@ def jaccard_components(docs, k, num, den):
                         links.append((a, b))
     up = roots(sets, links)
     return {d: (len(s), up[d]) for d, s in sets.items()}
+
+
+def remove_repeats(docs, span):
+    """[(doc_id, text)] -> {doc_id: (words, removed, kept words)}"""
+    import hashlib
+    words = {d: WORD.findall(t or "") for d, t in docs}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - span + 1):
+            first.setdefault(tuple(words[d][i:i + span]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - span + 1):
+            if first[tuple(w[i:i + span])] < d:
+                gone.update(range(i, i + span))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out[d] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
