@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ngram_join, substring_dedup
+from . import line_dedup, ngram_join, substring_dedup
 
-_MODULES = (ngram_join, substring_dedup)
+_MODULES = (line_dedup, ngram_join, substring_dedup)
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
