@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import line_dedup, ngram_join, substring_dedup, warc
+from . import embedding_dedup, line_dedup, ngram_join, substring_dedup, warc
 
-_MODULES = (line_dedup, ngram_join, substring_dedup, warc)
+_MODULES = (embedding_dedup, line_dedup, ngram_join, substring_dedup, warc)
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
