@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, line_dedup, multi_index, ngram_join, substring_dedup, warc
+from . import byte_bpe, embedding_dedup, line_dedup, multi_index, ngram_join, substring_dedup, warc
 
-_MODULES = (embedding_dedup, line_dedup, multi_index, ngram_join, substring_dedup, warc)
+_MODULES = (byte_bpe, embedding_dedup, line_dedup, multi_index, ngram_join, substring_dedup, warc)
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
