@@ -22,9 +22,10 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, Str
 
 from ..functions import text as T
 
-# Fixed values of the stand-in annotator: dependency and POS labels by word index mod 7.
-DEP_CYCLE = ["det", "amod", "compound", "nsubj", "ROOT", "prep", "pobj"]
-POS_CYCLE = ["DET", "ADJ", "NOUN", "NOUN", "VERB", "ADP", "NOUN"]
+# Fixed values of the stand-in annotator: dependency and POS labels by word index
+# plus sentence number, so sentences begin anywhere in the cycle.
+DEP_CYCLE = ["det", "amod", "compound", "compound", "nsubj", "ROOT", "prep", "agent", "acomp", "punct", "dobj", "nsubj", "pobj"]
+POS_CYCLE = ["DET", "ADJ", "NOUN", "NOUN", "NOUN", "VERB", "ADP", "ADP", "ADJ", "PUNCT", "NOUN", "NOUN", "NOUN"]
 # Fixed values of the stand-in NER model: entity groups picked by the md5 of the word.
 NER_GROUPS = ["PER", "ORG", "LOC", "MISC"]
 
@@ -38,7 +39,8 @@ def rule_annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     s = T.posexplode_rows(docs, ["doc_id"], T.sentences(F.col(text)), "sent_id", "sentence")
     toks = F.transform(T.words_of("sentence"), lambda w, i: F.struct(
         i.alias("idx"), w.alias("text"),
-        F.element_at(deps, i % 7 + 1).alias("dep"), F.element_at(poss, i % 7 + 1).alias("pos")))
+        F.element_at(deps, (i + F.col("sent_id")) % len(DEP_CYCLE) + 1).alias("dep"),
+        F.element_at(poss, (i + F.col("sent_id")) % len(DEP_CYCLE) + 1).alias("pos")))
     return s.select("doc_id", "sent_id", toks.alias("tokens"))
 
 

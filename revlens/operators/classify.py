@@ -80,42 +80,48 @@ def predict_naive_bayes(test_x: DataFrame, test_ids: DataFrame, weights: DataFra
 
 # --- MLlib models (rows-only checks) -------------------------------------------------
 
-def text_features_pipeline(max_features: int = 4000, input_col: str = "text"):
-    """Tokenise -> counts (capped vocabulary) -> IDF -> L2 norm, as an ML Pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, RegexTokenizer
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=input_col, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-        CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=max_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features", p=2.0),
-    ])
-
-
-def solver_partitions(cached: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
-    """Coalesce already-materialised training data to ceil(n / rows_per_partition)
-    partitions: iterative MLlib solvers pay one job per step, so tiny partitions
-    only add overhead, while large inputs keep their parallelism."""
+def text_features(train: DataFrame, max_features: int = 4000, text: str = "text"):
+    """TF-IDF of the token column ``_tok``, fitted on the texts of ``train`` as an
+    ML pipeline, cell for cell that of ``tfidf.tfidf_l2``: the ``max_features`` most counted terms (ties in term
+    order), idf = ln((1 + n) / (1 + df)) + 1, rows of length 1."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+    tokens = train.select("doc_id", F.explode_outer(sk_tokens(text)).alias("term")).where("term is not null")
+    bow = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    kept = (bow.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+            .orderBy(F.desc("n"), "term").limit(max_features).collect())  # the vocabulary: max_features rows
+    n = train.count()
     import math
-    target = max(1, math.ceil(n_rows / rows_per_partition))
-    return cached.coalesce(target) if target < cached.rdd.getNumPartitions() else cached
+    idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in kept]
+    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in kept], inputCol="_tok", outputCol="_tf")
+    return PipelineModel([counts,
+                          ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_idf"),
+                          Normalizer(inputCol="_idf", outputCol="features", p=2.0)])
 
 
 def linear_svm(train: DataFrame, test: DataFrame, label_col: str = "label_index",
-               C: float = 1.0, max_iter: int = 25):
-    """One-vs-rest linear SVMs on TF-IDF features; regParam = 1 / (C n)."""
+               C: float = 1.0, max_iter: int = 2000, tol: float = 1e-3):
+    """One-vs-rest linear SVMs on TF-IDF features as they are (no
+    standardisation); regParam = 1 / (C n).  Fails if a class has not converged
+    within ``max_iter`` steps."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-    feats = text_features_pipeline().fit(train)
-    # the iterative solver reads the training features once per iteration and
-    # class: keep them (not the raw text) in memory for the fit only, in as many
-    # partitions as their row count warrants (each iteration is one job)
-    x0 = feats.transform(train).select(label_col, "features").persist()
-    n = x0.count()
-    x = solver_partitions(x0, n)
-    svc = LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter)
-    ovr = OneVsRest(classifier=svc, labelCol=label_col, featuresCol="features", parallelism=4).fit(x)
-    x0.unpersist()
+    from pyspark.ml.classification import LinearSVC, OneVsRestModel
+    train, test = (df.withColumn("_tok", sk_tokens("text")) for df in (train, test))
+    feats = text_features(train)
+    # the solver reads the training features once per step and class: kept for the fit only
+    x = feats.transform(train).select(label_col, "features").persist()
+    n = x.count()
+    models = []
+    for index in sorted(r[0] for r in x.select(label_col).distinct().collect()):
+        one = x.select("features", F.when(F.col(label_col) == index, 1.0).otherwise(0.0).alias(label_col))
+        model = LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter, tol=tol, standardization=False,
+                          labelCol=label_col).fit(one)
+        if model.summary().totalIterations >= max_iter:
+            raise RuntimeError(f"class {index:g} did not converge in {max_iter} steps")
+        models.append(model)
+    x.unpersist()
+    ovr = OneVsRestModel(models).setFeaturesCol("features").setPredictionCol("prediction")
     model = PipelineModel(stages=[feats, ovr])
     return model, model.transform(test)
 
@@ -125,9 +131,9 @@ def mlp_classifier(train: DataFrame, test: DataFrame, layers: list[int], label_c
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     mlp = MultilayerPerceptronClassifier(layers=layers, labelCol=label_col, featuresCol=features_col,
                                          maxIter=max_iter, seed=seed)
-    x0 = train.select(label_col, features_col).persist()
-    model = mlp.fit(solver_partitions(x0, x0.count()))
-    x0.unpersist()
+    x = train.select(label_col, features_col).persist()
+    model = mlp.fit(x)
+    x.unpersist()
     return model, model.transform(test)
 
 

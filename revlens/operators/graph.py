@@ -120,15 +120,7 @@ def drop_empty_edges(df: DataFrame) -> DataFrame:
 
 
 def build_graph(nested: DataFrame) -> DataFrame:
-    """Entities and relation of every sentence in one pass, then cleaned."""
-    ent = extract_entities(nested)
-    rel = extract_relation(nested)
-    g = ent.join(rel, ["doc_id", "sent_id"])
-    return drop_empty_edges(g.select("doc_id", "sent_id", "source", "target", "edge"))
-
-
-def build_graph_one_pass(nested: DataFrame) -> DataFrame:
-    """Same as ``build_graph`` without the self-join (both folds in one projection)."""
+    """Entities and relation of every sentence (both folds in one projection), then cleaned."""
     e = F.lit("")
     init_e = F.struct(e.alias("ent1"), e.alias("ent2"), e.alias("prv_dep"), e.alias("prv_text"),
                       e.alias("prefix"), e.alias("modifier"))
@@ -183,64 +175,56 @@ def frontier_union(df: DataFrame) -> DataFrame:
             .where(F.col("node").isNotNull()).distinct())
 
 
-def _touching(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    s = df.join(nodes.select(F.col("node").alias("source")), "source", "left_semi")
-    t = df.join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
-    return s.unionByName(t)
-
-
-def neighborhood(df: DataFrame, sources: DataFrame, depth: int, edge_types=None,
-                 checkpoint_every: int = 2) -> DataFrame:
+def neighborhood(df: DataFrame, sources: DataFrame, depth: int, edge_types=None) -> DataFrame:
     """Edges reached in ``depth`` undirected rounds from ``sources``, distinct.
 
-    Each round keeps edges (of the given types) touching the frontier; the next
-    frontier is every node of this round's edges.  The frontier is a distinct
-    node set (shuffled on node); it is checkpointed every ``checkpoint_every``
-    rounds so lineage stays short and a lost executor recomputes one round.
+    Breadth first: a round follows only the nodes that the round before has
+    newly found, so every node is expanded once.  The edges are written once;
+    each round's new nodes and edges are checkpointed, so the plan of a round
+    does not grow with the depth and a lost executor recomputes one round.
     """
-    from ..session import checkpoint_dir
-    e = df if edge_types is None else df.where(F.col("edge").isin(list(edge_types)))
-    frontier = sources.select(F.col(sources.columns[0]).alias("node")).distinct()
-    rounds = []
-    for i in range(depth):
-        rows = _touching(e, frontier)
-        rounds.append(rows)
-        frontier = frontier_union(rows)
-        if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < depth:
-            checkpoint_dir(df.sparkSession)
-            frontier = frontier.checkpoint(eager=True)
-    if not rounds:
+    from ..session import materialize
+    if depth < 1:
         return df.limit(0)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
+    e = materialize(df if edge_types is None else df.where(F.col("edge").isin(list(edge_types))))
+    new = materialize(sources.select(F.col(sources.columns[0]).alias("node")).where("node is not null").distinct())
+    seen, found = new, None
+    for i in range(depth):
+        rows = (e.join(new.withColumnRenamed("node", "source"), "source", "left_semi").select(*df.columns)
+                .union(e.join(new.withColumnRenamed("node", "target"), "target", "left_semi").select(*df.columns)))
+        rows = materialize(rows.distinct())
+        found = rows if found is None else found.union(rows)
+        if i + 1 < depth:
+            new = materialize(frontier_union(rows).join(seen, "node", "left_anti"))
+            seen = seen.union(new)
+    return found.distinct()
 
 
-def filter_graph_by_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
+def filter_graph_by_patterns(df: DataFrame, patterns: DataFrame, regex: tuple[str, ...] = ()) -> DataFrame:
     """Edges whose source or target contains any of the patterns (literal
-    substrings, exact).
+    substrings, exact) or matches any regular expression of ``regex``.
 
     Work is done on *distinct* node values: each node string is expanded into
-    its substrings up to the longest pattern, equi-joined with the distinct
-    patterns (a shuffle join, no nested loop) and the matching nodes are
-    semi-joined back to the edges.
+    its substrings of the lengths that occur among the patterns, equi-joined
+    with the distinct patterns (a shuffle join, no nested loop) and the matching
+    nodes are semi-joined back to the edges.
     """
     from ..session import materialize
-    # the distinct patterns are read twice (length bound, join): written once
+    # the distinct patterns are read twice (lengths, join) and the edges four times: written once
     p = materialize(patterns.select(F.col(patterns.columns[0]).alias("sub")).where(
         F.col("sub").isNotNull() & (F.col("sub") != "")).distinct())
-    max_len = p.agg(F.max(F.length("sub"))).first()[0] or 0  # one number to the driver
-    nodes = frontier_union(df)
-    L = F.length("node")
-    subs = nodes.select("node", F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(L, F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.lit(max_len), L - i + 1), F.lit(1))),
-                              lambda n: F.substring("node", i, n))))).alias("sub"))
-    hit = subs.join(p, "sub", "left_semi").select("node").distinct()
-    s = df.join(hit.select(F.col("node").alias("source")), "source", "left_semi")
-    t = df.join(hit.select(F.col("node").alias("target")), "target", "left_semi")
+    df = materialize(df)
+    lengths = p.agg(F.sort_array(F.collect_set(F.length("sub")))).scalar()
+    nodes = frontier_union(df).withColumn("size", F.length("node"))
+    at = nodes.withColumn("n", F.explode(lengths)).where("n <= size")
+    subs = at.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1),
+                                                   lambda i: F.substring(F.col("node"), i, F.col("n")))).alias("sub"))
+    hit = subs.distinct().join(p, "sub", "left_semi").select("node")
+    for r in regex:
+        hit = hit.union(nodes.where(F.col("node").rlike(r)).select("node"))
+    hit = materialize(hit.distinct())
+    s = df.join(hit.withColumnRenamed("node", "source"), "source", "left_semi").select(*df.columns)
+    t = df.join(hit.withColumnRenamed("node", "target"), "target", "left_semi").select(*df.columns)
     # (source hit) + (target hit and source not hit): every matching row once,
     # parallel edges kept, a null source handled by the anti join
-    out = s.unionByName(t.join(hit.select(F.col("node").alias("source")), "source", "left_anti"))
-    return out.select(*df.columns)
+    return s.union(t.join(hit.withColumnRenamed("node", "source"), "source", "left_anti").select(*df.columns))

@@ -83,16 +83,16 @@ def add_flags(df: DataFrame, flags: dict[str, DataFrame], key: str = "doc_id") -
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, cols: Iterable[str]) -> DataFrame:
     """Many-to-one lookup that fails on a missing key (like a dict lookup).
 
-    A left join followed by ``raise_error`` on a null match keeps the check
-    inside the plan (no extra count action).  ``dim`` is not broadcast blindly:
-    adaptive execution switches to a broadcast only if its measured size allows.
+    A left join followed by a filter that raises on a null match keeps the check
+    inside the plan (no extra count action); a filter, unlike a column, cannot be
+    pruned.  ``dim`` is not broadcast blindly: adaptive execution switches to a
+    broadcast only if its measured size allows.
     """
     cols = list(cols)
     d = dim.select(F.col(key), *cols, F.lit(True).alias("_found"))
     out = df.join(d, key, "left")
-    check = F.when(F.col("_found").isNull(),
-                   F.raise_error(F.concat(F.lit(f"lookup_join: missing {key} "), F.col(key).cast("string"))))
-    return out.withColumn("_found", F.coalesce(check.cast("boolean"), F.col("_found"))).drop("_found")
+    missing = F.raise_error(F.concat(F.lit(f"lookup_join: missing {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return out.where(F.when(F.col("_found").isNull(), missing.cast("boolean")).otherwise(True)).drop("_found")
 
 
 # --- set operations ----------------------------------------------------------

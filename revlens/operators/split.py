@@ -46,9 +46,9 @@ def label_index(labels: DataFrame, label: str) -> DataFrame:
 def encode_labels(df: DataFrame, label: str, mapping: DataFrame, out: str = "label_index") -> DataFrame:
     """Attach the index of ``label`` from a mapping fitted once (never refitted)."""
     m = mapping.select(F.col("label").alias(label), F.col("index").alias(out))
-    return df.join(F.broadcast(m), label, "left")
+    return df.join(m, label, "left")
 
 
 def decode_labels(df: DataFrame, index: str, mapping: DataFrame, out: str = "label") -> DataFrame:
     m = mapping.select(F.col("index").alias(index), F.col("label").alias(out))
-    return df.join(F.broadcast(m), index, "left")
+    return df.join(m, index, "left")

@@ -99,7 +99,7 @@ ANNOT_CTE = f"""WITH sents AS (
   SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_id, unnest(s) AS sentence
   FROM (SELECT doc_id, {S.sentences("coalesce(text, '')")} AS s FROM documents)),
 nested AS (SELECT doc_id, sent_id, list_transform({S.words_of('sentence')}, lambda w, i: struct_pack(
-  idx := CAST(i - 1 AS INTEGER), text := w, dep := {_DEPS}[(i - 1) % 7 + 1], pos := {_POSS}[(i - 1) % 7 + 1])) AS tokens FROM sents) """
+  idx := CAST(i - 1 AS INTEGER), text := w, dep := {_DEPS}[(i - 1 + sent_id) % {len(A.DEP_CYCLE)} + 1], pos := {_POSS}[(i - 1 + sent_id) % {len(A.DEP_CYCLE)} + 1])) AS tokens FROM sents) """
 
 
 def nested_tokens(spark, d):
@@ -186,7 +186,7 @@ WHERE (source IS NULL OR lower(source) <> '') AND (target IS NULL OR lower(targe
 
 @register("build_graph", _EXTRACT_CTE + _GRAPH_SELECT)
 def build_graph(spark, d):
-    return G.build_graph_one_pass(nested_tokens(spark, d))
+    return G.build_graph(nested_tokens(spark, d))
 
 
 @register("drop_empty_edges", _EXTRACT_CTE + "SELECT count(*) AS n_edges, count(edge) AS n_with_edge FROM (" + _GRAPH_SELECT + ")")
@@ -239,7 +239,7 @@ def entity_graph(spark, d):
     one = C.fixtures.balanced(
         C.fixtures.load_table(spark, d, "documents").where(F.col("source") == ENTITY_TITLE).select("doc_id", "text"),
         "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    g = G.build_graph_one_pass(A.rule_annotate(one))
+    g = G.build_graph(A.rule_annotate(one))
     words = A.flatten_ner(A.extract_ner(one, "text")).select(F.lower("entity").alias("p"))
     return G.filter_graph_by_patterns(g, words)
 
@@ -254,12 +254,12 @@ def filter_graph_by_patterns(spark, d):
 
 
 @register("pattern_join", _EXTRACT_CTE + ", g AS (" + _GRAPH_SELECT + "), "
-          "pats AS (SELECT DISTINCT lower(w) AS p FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 4) "
+          "pats AS (SELECT DISTINCT lower(w) AS p FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark)) "
           "SELECT doc_id, sent_id, source, target, edge FROM g WHERE EXISTS (SELECT 1 FROM pats WHERE contains(g.source, p) OR contains(g.target, p))")
 def pattern_join(spark, d):
-    """Corpus graph edges whose ends contain a word (4+ letters) of the benchmark items."""
-    g = G.build_graph_one_pass(nested_tokens(spark, d))
+    """Corpus graph edges whose ends contain a word of the benchmark items."""
+    g = G.build_graph(nested_tokens(spark, d))
     bench = C.fixtures.load_table(spark, d, "benchmark")
     pats = (bench.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w"))
-            .where(F.length("w") >= 4).select(F.lower("w").alias("p")))
+            .select(F.lower("w").alias("p")))
     return G.filter_graph_by_patterns(g, pats)

@@ -38,20 +38,21 @@ _BOW = ("WITH bow AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, un
 def write_vocabulary(spark, d):
     """Vocabulary written as a sorted text file, read back."""
     path = _scratch(spark, "vocabulary")
-    docs = C.docs(spark, d)
-    sinks.write_vocabulary(TF.tfidf(C.plain_bow(spark, d), docs), path)
+    sinks.write_vocabulary(C.plain_bow(spark, d), path)
     return spark.read.text(path)
 
 
 @register("write_term_scores", _BOW + """, idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM bow GROUP BY term)
 SELECT b.doc_id, b.term, round(b.n * i.idf, 6) AS score FROM bow b JOIN idf i ON b.term = i.term""")
 def write_term_scores(spark, d):
-    """Per-document term-score files written and read back (doc id from the folder name)."""
+    """Term scores by submission file written and read back."""
     path = _scratch(spark, "term-scores")
     docs = C.docs(spark, d)
-    sinks.write_term_scores(TF.tfidf(C.plain_bow(spark, d), docs), path)
-    back = spark.read.option("header", True).schema("term string, score double, doc_id bigint").csv(path)
-    return back.select("doc_id", "term", F.round("score", 6).alias("score"))
+    scores = TF.tfidf(C.plain_bow(spark, d), docs)
+    scores = scores.select(F.concat(F.col("doc_id").cast("string"), F.lit(".csv")).alias("submission_file"), "term", "score")
+    sinks.write_term_scores(scores, path, key="submission_file")
+    back = spark.read.option("header", True).schema("submission_file string, term string, score double").csv(path)
+    return back.select(F.regexp_replace("submission_file", "[.]csv$", "").cast("bigint").alias("doc_id"), "term", F.round("score", 6).alias("score"))
 
 
 @register("stream_clean_doc", "SELECT doc_id, " + S.join_tokens(S.clean_doc("coalesce(text, '')")) + " AS processed_text, "
@@ -60,8 +61,7 @@ def stream_clean_doc(spark, d):
     """clean_doc on a file stream of the documents table (availableNow trigger)."""
     landing = _scratch(spark, "stream-landing")
     sink, ckpt = _scratch(spark, "stream-sink"), _scratch(spark, "stream-ckpt")
-    # the documents arrive as several files in a landing folder
-    C.docs(spark, d).repartition(4, "doc_id").write.parquet(landing)
-    q = clean_stream(spark, landing, max_files_per_trigger=1)
+    C.docs(spark, d).write.parquet(landing)
+    q = clean_stream(spark, landing)
     run_available(q, sink, ckpt)
     return spark.read.parquet(sink)

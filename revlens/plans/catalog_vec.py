@@ -123,7 +123,7 @@ def _features(spark, d):
 
 
 def _kmeans(spark, d):
-    return C.fitted(spark, d, "kmeans345", lambda: CU.kmeans_runs(_features(spark, d), "features", [3, 4, 5], seed=0))
+    return CU.kmeans_runs(_features(spark, d), "features", [3, 4, 5], seed=0)
 
 
 @register("kmeans_runs")
@@ -197,8 +197,8 @@ def _clean_doc_tokens(spark, d):
 
 
 def _w2v(spark, d):
-    return C.fitted(spark, d, "w2v200", lambda: VE.fit_word2vec(
-        V.clean_tokens(C.docs(spark, d)), vector_size=200, window=3, min_count=1))
+    return VE.fit_word2vec(
+        V.clean_tokens(C.docs(spark, d)), vector_size=200, window=3, min_count=1)
 
 
 @register("word_vectors")
@@ -233,8 +233,8 @@ def _doc_vectors(spark, d):
     c = C.corpus(spark, d)
     c = SP.split_train_test(c, "doc_id", 0.8, seed=1)
     toks = V.clean_tokens(c.select("doc_id", "text")).join(c.select("doc_id", "genre", "split"), "doc_id")
-    m = C.fitted(spark, d, "w2v100train", lambda: VE.fit_word2vec(
-        toks.where("split = 'train'"), vector_size=100, window=3, min_count=2))
+    m = VE.fit_word2vec(
+        toks.where("split = 'train'"), vector_size=100, window=3, min_count=2)
     return VE.document_vectors(m, toks)
 
 
@@ -251,22 +251,25 @@ def embed_texts(spark, d):
     return VE.embed_texts(C.docs(spark, d), "text", VE.hashing_embedder(16)).select("doc_id", "embedding")
 
 
-# the named network variants: hidden layers as multiples of the input size, iterations
-NETWORKS = {"mdl1": ([2], 300), "mdl2": ([2], 300), "mdl3": ([2, 2], 400), "mdl4": ([1, 1], 300)}
+# the four networks: hidden layers as multiples of the input size, iterations
+NETWORKS = {"mdl1": ([2], 300), "mdl2": ([2], 300), "mdl3": ([2], 400), "mdl4": ([1], 300)}
 
 
 @register("neural_genre_classifier")
 def neural_genre_classifier(spark, d):
-    """Feed-forward genre classifiers on document vectors; accuracy per model and part."""
-    dv = _doc_vectors(spark, d)
+    """Feed-forward genre classifiers on document vectors; accuracy per model and part.
+
+    mdl2, two directions of half the nodes each, has the width of mdl1 and starts from other weights."""
+    from ..operators.classify import mlp_classifier
+    dv = _doc_vectors(spark, d).where("genre is not null")
     mapping = SP.label_index(dv.select(F.col("genre").alias("label")), "label")
     dv = SP.encode_labels(dv.withColumnRenamed("genre", "label"), "label", mapping)
-    dv = dv.withColumn("label_index", F.col("label_index").cast("double")).cache()
-    n_in = 100
+    # four fits and their reports read the vectors: written once
+    dv = C.materialize(dv.select("split", "features", F.col("label_index").cast("double").alias("label_index")))
+    n_in, n_out = 100, mapping.count()
     out = None
     for i, (name, (hidden, iters)) in enumerate(NETWORKS.items()):
-        from ..operators.classify import mlp_classifier
-        layers = [n_in] + [h * n_in for h in hidden] + [4]
+        layers = [n_in] + [h * n_in for h in hidden] + [n_out]
         model, _ = mlp_classifier(dv.where("split = 'train'"), dv.where("split = 'test'"), layers,
                                   max_iter=iters, seed=i + 1)
         p = model.transform(dv).select(F.lit(name).alias("model"), "split",
@@ -302,14 +305,14 @@ def top_terms_per_topic(spark, d):
 
 
 def _count_feats(spark, d):
-    return C.fitted(spark, d, "counts", lambda: TP.count_features(_clean_doc_tokens(spark, d), vocab_size=1 << 18))
+    return TP.count_features(C.materialize(_clean_doc_tokens(spark, d)))
 
 
 @register("lsa_topics")
 def lsa_topics(spark, d):
     """SVD topics (k = 5): 10 terms per topic by absolute weight."""
     cvm, feats = _count_feats(spark, d)
-    tw, _, _ = C.fitted(spark, d, "lsa5", lambda: TP.lsa(feats, 5))
+    tw, _, _ = TP.lsa(feats, 5)
     vocab = TP.vocabulary_table(spark, cvm)
     return TP.top_terms_per_topic(tw.join(vocab, "term_index"), 10, by_abs=True).select("topic", "rank", "term", "weight")
 
@@ -318,13 +321,13 @@ def lsa_topics(spark, d):
 def lsa_positions(spark, d):
     """Document coordinates U * S in the 5 SVD topics."""
     _, feats = _count_feats(spark, d)
-    _, pos, _ = C.fitted(spark, d, "lsa5", lambda: TP.lsa(feats, 5))
+    _, pos, _ = TP.lsa(feats, 5)
     return pos
 
 
 def _lda(spark, d):
     cvm, feats = _count_feats(spark, d)
-    return cvm, feats, C.fitted(spark, d, "lda5", lambda: TP.lda(feats, 5, max_iter=20, seed=23))
+    return cvm, feats, TP.lda(feats, 5, max_iter=20, seed=23)
 
 
 @register("lda_topics")

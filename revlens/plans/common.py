@@ -47,13 +47,8 @@ def target_ids(spark: SparkSession, d: str) -> DataFrame:
 from ..session import materialize  # noqa: E402,F401
 
 
-_MODELS: dict = {}
-
-
-def fitted(spark: SparkSession, d: str, name: str, fit):
-    """Fit a model once per (session, dataset, name) and reuse it: models are
-    returned and passed on, never refitted for each report."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _MODELS:
-        _MODELS[key] = fit()
-    return _MODELS[key]
+def genres(spark: SparkSession, d: str) -> list[str]:
+    """The class axis: the distinct genres, sorted (k names)."""
+    from ..operators.split import label_index
+    docs = fixtures.load_table(spark, d, "documents").select(F.col("lang").alias("label"))
+    return [r["label"] for r in label_index(docs, "label").orderBy("index").collect()]

@@ -40,6 +40,59 @@ def test_roc_running_sums_match_brute_force(spark):
         assert auc[m] == pytest.approx(brute)
 
 
+def test_running_sums_without_exchange_reuse(spark):
+    keys = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("o"), F.lit(1).alias("one"))
+        out = M.running_sums(df, ["g"], [F.col("o")], ["one"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for g in (0, 1):
+        assert [r["cum_one"] for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["o"])] == list(range(1, 10_001))
+
+
+def test_lookup_join_raises_on_a_missing_key(spark):
+    from revlens.operators.relational import lookup_join
+    dim = spark.createDataFrame([(1, "one")], "k int, title string")
+    ok = lookup_join(spark.createDataFrame([(1,), (1,)], "k int"), dim, "k", ["title"])
+    assert [r["title"] for r in ok.collect()] == ["one", "one"]
+    missing = lookup_join(spark.createDataFrame([(1,), (2,)], "k int"), dim, "k", ["title"])
+    for use in (lambda: missing.collect(), lambda: missing.select("k").collect()):
+        with pytest.raises(Exception, match="missing k 2"):
+            use()
+
+
+def test_count_features_keep_every_term_and_lda_shares_add_up(spark):
+    from revlens.operators import topics as TP
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.transform(
+        F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(F.lit("t"), (F.col("id") * 31 + i).cast("string"))).alias("tokens"))
+    model, feats = TP.count_features(df)
+    assert len(model.vocabulary) == 40 * 31
+    lda = TP.lda(feats, 2, max_iter=2)
+    from pyspark.ml.functions import vector_to_array
+    shares = lda.transform(feats).select(vector_to_array("topicDistribution").alias("s")).collect()
+    assert len(shares) == 40 and all(abs(sum(r["s"]) - 1) < 1e-6 for r in shares)
+    tw, pos, sv = TP.lsa(feats, 3)
+    top = pos.groupBy("topic").agg(F.sum(F.col("value") ** 2).alias("n")).orderBy("topic").collect()
+    assert [r["n"] for r in top] == pytest.approx([x * x for x in sv])  # |U S| by topic are the singular values
+
+
+def test_svm_separates_on_the_tfidf_features(spark):
+    from revlens.operators import classify as CL
+    rows = [(i, " ".join(["red", "apple", f"x{i}"] if i % 3 == 0 else ["blue", "sea", f"y{i}"] if i % 3 == 1 else ["green", "tree", f"z{i}"]),
+             float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label_index double")
+    _, out = CL.linear_svm(df.where("doc_id < 45"), df.where("doc_id >= 45"))
+    assert all(r["prediction"] == r["label_index"] for r in out.collect())
+    norm = F.sqrt(F.aggregate(__import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x))
+    assert all(abs(r[0] - 1) < 1e-9 for r in out.select(norm).collect())
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (8.0,), (8.01,), (-0.1,), (0.08,), (4.0,)], "v double")
     got = dict(TF.score_histogram(df, "v", 100, 0.0, 8.0).collect())

@@ -109,7 +109,7 @@ def test_extraction_folds_evaluated_once(spark):
     from revlens.operators import annotate as A
     from revlens.operators import graph as G
     from revlens.sources.fixtures import documents
-    g = G.build_graph_one_pass(A.rule_annotate(documents(spark, SF)))
+    g = G.build_graph(A.rule_annotate(documents(spark, SF)))
     assert g._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
 
 
