@@ -23,7 +23,8 @@ HEADLINE = [
     "read_corpus", "text_variants", "clean_doc", "sentences", "bag_of_words", "top_mean_tfidf",
     "clean_bag_of_words", "tfidf_l2", "naive_bayes", "score_sentiment", "cosine_sparse",
     "cosine_dense", "silhouette", "kmeans_assign", "roc_auc", "lda_topics", "build_graph",
-    "entity_graph", "neighborhood",
+    "entity_graph", "neighborhood", "tfidf_clean", "pattern_join", "linear_svm", "lsa_topics", "word_vectors",
+    "neural_genre_classifier",
 ]
 
 

@@ -1,7 +1,7 @@
 """Tokens, vocabulary-level maps (lemma, stem) and bags of words.
 
 Design: per-occurrence work stays in native array expressions; anything that
-needs a lexicon or Python (lemmas, stems) runs once per *distinct* token and is
+needs a lexicon or many rules (lemmas, stems) runs once per *distinct* token and is
 joined back.  The join of occurrences with a vocabulary map is a plain equi
 join: adaptive execution broadcasts the map when its measured size is small and
 otherwise keeps a sort-merge join whose hot keys (frequent words) are split by
@@ -11,13 +11,11 @@ so a word that holds a third of all tokens is pre-summed in every task.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.porter import stem_word
+from ..functions.porter import porter_stem
 from ..functions.words import ENGLISH_STOP_WORDS, NOUN_DETACHMENTS
 
 
@@ -83,15 +81,10 @@ def lemma_map(vocab: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
 
 # --- stems ---------------------------------------------------------------------
 
-@F.pandas_udf(StringType())
-def _stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(stem_word)
-
-
 def stem_map(vocab: DataFrame) -> DataFrame:
-    """``(token, stem)``: Porter stems of the distinct tokens (Arrow batches)."""
+    """``(token, stem)``: Porter stems of the distinct tokens."""
     v = vocab.select(F.col(vocab.columns[0]).alias("token")).distinct()
-    return v.select("token", _stem_udf("token").alias("stem"))
+    return v.select("token", porter_stem("token").alias("stem"))
 
 
 # --- mapping token arrays through a vocabulary map ------------------------------
@@ -122,10 +115,9 @@ def clean_map(vocab: DataFrame, lexicon: DataFrame | None = None,
     joined only once.
     """
     lm = lemma_map(vocab, lexicon)
-    # lemmas are about as many as tokens, so they are stemmed in place (Arrow
-    # batches) rather than deduplicated and joined back; stop-word lemmas map to
+    # lemmas are about as many as tokens, so they are stemmed in place rather than deduplicated and joined back; stop-word lemmas map to
     # null, which the caller drops
-    return lm.select("token", F.when(T.not_stop_word(F.col("lemma"), stop_words), _stem_udf("lemma"))
+    return lm.select("token", F.when(T.not_stop_word(F.col("lemma"), stop_words), porter_stem("lemma"))
                      .alias("term"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.porter import stem_sql
 from ..functions.words import ENGLISH_STOP_WORDS
 from ..operators import relational as R
 from ..operators import vocab as V
@@ -298,14 +299,28 @@ def lemmatize(spark, d):
     return V.lemma_map(vocab)
 
 
-@register("stem")
+_VOCAB = f"vocab AS (SELECT DISTINCT unnest({S.tokenize(S.normalize('text'))}) AS token FROM documents)"
+
+
+@register("stem", f"WITH {_VOCAB}, {stem_sql('vocab', 'token')} SELECT word AS token, stem FROM porter")
 def stem(spark, d):
-    """Porter stems of the corpus vocabulary (no SQL oracle: DuckDB's stemmer is an extension)."""
+    """Porter stems of the corpus vocabulary."""
     vocab = V.distinct_tokens(V.tokenize(C.docs(spark, d)))
     return V.stem_map(vocab)
 
 
-@register("clean_tokens")
+#: (token, term): lemma, then null for a stop word, else the lemma's stem
+CLEAN_MAP_CTE = (_lemma_sql().replace("SELECT v.token, coalesce", ", lemmas AS (SELECT v.token, coalesce") + "), "
+                 + stem_sql("lemmas", "lemma") + ", clean_map AS (SELECT l.token, CASE WHEN list_contains("
+                 + S.list_lit(sorted(set(ENGLISH_STOP_WORDS))) + ", l.lemma) THEN NULL ELSE p.stem END AS term "
+                 "FROM lemmas l JOIN porter p ON p.word = l.lemma)")
+
+
+@register("clean_tokens", CLEAN_MAP_CTE + f""", occ AS (SELECT doc_id, pos, toks[pos] AS token FROM (
+   SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS pos FROM (SELECT doc_id, {S.tokenize(S.normalize("coalesce(text, '')"))} AS toks FROM documents))),
+clean_kept AS (SELECT o.doc_id, string_agg(m.term, ' ' ORDER BY o.pos) AS tokens FROM occ o JOIN clean_map m ON m.token = o.token
+   WHERE m.term IS NOT NULL GROUP BY o.doc_id)
+SELECT d.doc_id, coalesce(k.tokens, '') AS tokens FROM documents d LEFT JOIN clean_kept k ON k.doc_id = d.doc_id""")
 def clean_tokens(spark, d):
     t = V.clean_tokens(C.docs(spark, d))
     return t.select("doc_id", T.join_tokens("tokens").alias("tokens"))

@@ -8,6 +8,7 @@ from ..operators import tfidf as TF
 from ..operators import vocab as V
 from . import common as C
 from . import sqltext as S
+from .catalog_text import CLEAN_MAP_CTE
 from .registry import register
 
 # token rows of the SQL-checkable chain: normalise -> tokenise -> stop words
@@ -119,15 +120,22 @@ def most_common(spark, d):
     return TF.vocabulary_cap(C.plain_bow(spark, d), 10).select("term", F.col("total").cast("bigint").alias("total"))
 
 
-@register("clean_bag_of_words")
+_CLEAN_BOW = CLEAN_MAP_CTE + f""", cbow AS (SELECT o.doc_id, m.term, count(*) AS n
+  FROM (SELECT doc_id, unnest({S.tokenize(S.normalize("coalesce(text, '')"))}) AS token FROM documents) o
+  JOIN clean_map m ON m.token = o.token WHERE m.term IS NOT NULL GROUP BY o.doc_id, m.term)"""
+
+
+@register("clean_bag_of_words", _CLEAN_BOW + " SELECT doc_id, term, n FROM cbow")
 def clean_bag_of_words(spark, d):
     """Bag of words of the full cleaning chain (lemma + stop words + Porter stem)."""
     return V.clean_bag_of_words(C.docs(spark, d))
 
 
-@register("tfidf_clean")
+@register("tfidf_clean", _CLEAN_BOW + """, cidf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM cbow GROUP BY term)
+SELECT b.doc_id, b.term, round(b.n * i.idf, 6) AS score FROM cbow b JOIN cidf i ON b.term = i.term""")
 def tfidf_clean(spark, d):
     """The reference's TF-IDF input: full cleaning chain, then smoothed TF-IDF."""
     docs = C.docs(spark, d)
-    s = TF.tfidf(V.clean_bag_of_words(docs), docs)
+    # the scores and the document frequencies read the bag: written once
+    s = TF.tfidf(C.materialize(V.clean_bag_of_words(docs)), docs)
     return s.select("doc_id", "term", F.round("score", 6).alias("score"))
