@@ -33,6 +33,30 @@ def cosine_dense(spark, d):
     return s.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+_TARGET_SIMS = """WITH sims AS (SELECT a.vec_id AS a, b.vec_id AS b,
+  list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) """
+
+
+def _first_of_label(spark, d):
+    return _emb(spark, d).groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
+
+
+@register("cosine_top_k", _TARGET_SIMS + """SELECT a, b, round(sim, 6) AS sim, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS rank FROM sims) WHERE rank <= 10""")
+def cosine_top_k(spark, d):
+    """The 10 vectors most similar to each target (the first vector of every label), among all vectors."""
+    s = SIM.similar_to_targets(_emb(spark, d), _first_of_label(spark, d), "vec_id", "embedding", top_k=10)
+    return s.select("a", "b", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("cosine_min_sim", _TARGET_SIMS + "SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.3")
+def cosine_min_sim(spark, d):
+    """All vectors of similarity 0.3 or more to each target."""
+    s = SIM.similar_to_targets(_emb(spark, d), _first_of_label(spark, d), "vec_id", "embedding", min_sim=0.3)
+    return s.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 _TARGET_TFIDF = "WITH " + S.CORPUS_CTE + f""",
 targets AS (SELECT doc_id, text FROM corpus WHERE doc_id IN (SELECT min(doc_id) FROM corpus GROUP BY title)),
 bow AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({S.remove_stop(S.tokenize(S.normalize('text')))}) AS term FROM targets) GROUP BY doc_id, term),
