@@ -282,3 +282,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_warc": op4_warc}
+
+ORACLE_SQL = {"op4_warc": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((CAST('0x' || substr(p.h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN p.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = first THEN NULL ELSE first END AS refers_to, p.url, 'ok' AS status
+FROM p JOIN first ON p.h = first.h
+"""}
