@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int
     blocks = -(-held.sum(1) // BLOCK)
     cells = spark.sparkContext.broadcast(held.tolist())
 
-    enough = _enough(spark, entries, asked, index, held, n, k, recall)
+    enough = max(_enough(spark, entries, asked, index, held, n, k, recall), k + 1)  # k candidates and the query itself
     n_blocks = spark.sparkContext.broadcast(blocks)
     visits = asked.select("uid", "v").mapInArrow(_visits(index, cells, n_blocks, enough), arrow_ddl(_VISITS))
     count = F.element_at(F.lit(np.maximum(blocks, 1).tolist()), F.col("i") + 1)
