@@ -81,11 +81,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, doc_id: str = "doc_
     wide = s.write(spread_lines(lines, min_sites), "wide")
     hits = s.write(lines.join(wide, "line").select("line", "doc_id", "text_key", "pos"), "hits")
     s.drop("lines")
-    first = hits.groupBy("line").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"))
+    first = s.write(hits.groupBy("line").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first")), "first")
     gone = (hits.join(first, "line").where(F.struct("doc_id", "text_key", "pos") != F.col("first"))
             .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("cut")))
     gone = s.write(gone.withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "gone")
     s.drop("hits")
+    s.drop("first")
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     extra = [f"kept_{i}" for i in range(len(keep))]
     schema = arrow_ddl(_OUT) + "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in extra)
