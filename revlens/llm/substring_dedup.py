@@ -170,12 +170,14 @@ def remove_repeats(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     texts = only(docs, doc_id=doc_id, text=text)
     runs = s.write(texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
                    .mapInArrow(_runs(span), arrow_ddl(_RUNS)), "runs")
-    shared = runs.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a")
+    # grouped tables are written before they are joined: the join can then split a hot anchor
+    shared = s.write(runs.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a"),
+                     "shared")
     found = s.write(runs.join(shared, "a", "left_semi"), "found")
     s.drop("runs")
     paths = s.write(found.groupBy("a", "c").agg(F.min(F.struct("doc_id", "s")).alias("at"), F.max("doc_id").alias("last"),
                                                 F.first("n").alias("n")), "paths")
-    branching = paths.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
+    branching = s.write(paths.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "branching")
     # paths that never branch: the first document holds all their windows
     single = paths.join(branching, "a", "left_anti").where("at.doc_id < last").select(
         "a", "c", F.lit(0).alias("j"), "n", F.col("at.doc_id").alias("src"), F.col("at.s").alias("src_at"))
@@ -193,7 +195,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     hits = found.select("a", "c", "doc_id", "s").join(marks, ["a", "c"]).where("src < doc_id").select(
         "doc_id", (F.col("s") + F.col("j")).alias("at"), "n", "src", "src_at")
     spans = s.write(_compacted(hits, span), "spans")
-    for name in ("found", "paths", "windows", "marks"):
+    for name in ("shared", "branching", "found", "paths", "windows", "marks"):
         s.drop(name)
     wanted = spans.select("doc_id", "at", "len").union(spans.select(F.col("src").alias("doc_id"), F.col("src_at").alias("at"), "len")).distinct()
     digests = s.write(_asked(wanted, sources, "at", "len").select("doc_id", "text", "asked")
@@ -230,3 +232,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
+
+ORACLE_SQL = {"op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+first AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM win JOIN first USING (k) WHERE first < doc_id),
+cut AS (SELECT doc_id, list(pos) AS cut FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n, len(coalesce(cut, [])) AS n_removed,
+                CASE WHEN cut IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(cut, i)), lambda i: w[i]) END AS k
+         FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""}
