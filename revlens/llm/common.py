@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,37 @@ def text_slices(it, column: str = "text", most: int = 1 << 19):
             yield b.slice(lo)
 
 
+def runs(it, keys: list[str]):
+    """Batches sorted by ``keys`` -> one table per key, also where a key goes on
+    in the next batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in it:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy() for c in keys], 1)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        if held and (last != k[0]).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(k)]):
+            held.append(b.slice(lo, hi - lo))
+            if hi < len(k):
+                yield pa.Table.from_batches(held)
+                held = []
+        last = k[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_buckets(df: DataFrame, key, wanted: DataFrame, wanted_key, bits: int = 18) -> DataFrame:
+    """Rows of ``df`` whose key's hash bucket occurs in ``wanted``: a cheap first
+    filter before an exact join, broadcasting at most 2**bits bucket numbers."""
+    number = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    buckets = wanted.select(number(wanted_key).alias("_bucket")).distinct()
+    return df.withColumn("_bucket", number(key)).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+
+
 _KINDS = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary",
           pa.bool_(): "boolean"}
 

@@ -15,10 +15,11 @@ part too small for any difference, the combination of all its tokens.
   The counts only choose which tokens are called frequent; the join is exact
   for any choice.
 * Sets are compared once: equal sets are one class from the start.  Within the
-  documents of a signature, links are first sought to one centre; only pairs
-  still in different components are then tested against each other, so a group
-  of copies costs its size, not its square.
-* Every candidate pair is verified on its texts.
+  documents of a signature, links are first sought to one centre and to each
+  set's most promising partners; all pairs still in different components are
+  then tested, so a group of copies costs its size, not its square.
+* Every candidate pair that the sizes and bucket counts of its sets (a bound of the
+  intersection that is never too small) cannot rule out is verified on its texts.
 
 Sets and tokens are identified by 64-bit hashes.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, arrow_ddl, only, record_batch, table, text_slices
+from .common import Scratch, arrow_ddl, in_buckets, only, record_batch, runs, table, text_slices
 from .components import components
 
 #: Entries of a Misra-Gries summary: per task, and of the merged table that is broadcast (2 MB).
@@ -40,9 +41,13 @@ TASK_TOKENS, FREQUENT_TOKENS = 1 << 16, 1 << 18
 FREQUENT = 16
 #: Frequent tokens in a part, on average.
 PART = 4
+#: Sets from which a signature's group is compared in place, and sets of one block of it.
+LARGE_GROUP, GROUP_BLOCK = 16, 2048
+#: Partners that a set of a large group proposes in each round before all remaining pairs are tested.
+PROMISING = (1, 4)
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
-                       ("token", pa.int64()), ("count", pa.int64())])
+                       ("digest", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 _SIGNATURES = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("united", pa.int64())])
 
@@ -54,6 +59,32 @@ def node_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return W.mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * W.U(0x9E3779B97F4A7C15))
 
 
+def digest(values: np.ndarray) -> bytes | None:
+    """Counts of the set's tokens in about |set| / 2 hash buckets, four bits each;
+    None if a count has more.  The smaller counts of two sets, bucket by bucket,
+    add up to no less than their intersection."""
+    m = max(2, 1 << max(0, (len(values) - 1).bit_length() - 1))
+    counts = np.bincount((W.mix(values) & W.U(m - 1)).astype(np.int64), minlength=m)
+    return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes() if counts.max(initial=0) < 16 else None
+
+
+def counts_of(d: bytes) -> np.ndarray:
+    """The bucket counts of a digest."""
+    p = np.frombuffer(d, np.uint8)
+    return np.stack([p & 15, p >> 4], 1).ravel()
+
+
+def most_shared(x: bytes | None, y: bytes | None) -> int | None:
+    """Upper bound of the intersection of two sets, from their digests."""
+    if x is None or y is None:
+        return None
+    x, y = counts_of(x), counts_of(y)
+    while len(x) != len(y):  # fold the longer one
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(2, -1).sum(0)
+    return int(np.minimum(x, y).sum())
+
+
 class Summary:
     """Misra-Gries counts: at most ``size`` tokens, each counted low by at most
     the subtracted total."""
@@ -93,10 +124,11 @@ def _features(k: int):
             new = np.array([not (x in seen or seen.add(x)) for x in nodes.tolist()], bool)
             summary.add(values[np.repeat(new, sizes)])
             none = pa.nulls(b.num_rows, pa.int64())
-            yield record_batch(_FEATURES, b.column("doc_id"), b.column("text_key"), nodes.view(np.int64), sizes, none, none)
+            yield record_batch(_FEATURES, b.column("doc_id"), b.column("text_key"), nodes.view(np.int64), sizes,
+                               [digest(values[offsets[i]:offsets[i + 1]]) for i in range(b.num_rows)], none, none)
         summary.fold()
         none = pa.nulls(len(summary.tokens), pa.int64())
-        yield record_batch(_FEATURES, none, none, none, none, summary.tokens.view(np.int64), summary.counts)
+        yield record_batch(_FEATURES, none, none, none, none, pa.nulls(len(none), pa.binary()), summary.tokens.view(np.int64), summary.counts)
     return run
 
 
@@ -154,6 +186,77 @@ def _signatures(k: int, num: int, den: int, frequent):
     return run
 
 
+def _possible(num: int, den: int):
+    def run(it):
+        for b in it:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            shared = [most_shared(x, y) for x, y in zip(b.column("da").to_pylist(), b.column("db").to_pylist())]
+            keep = [s is None or den * s >= num * (int(x) + int(y) - s) for s, x, y in zip(shared, na, nb)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _possible_in_groups(num: int, den: int, best: int | None):
+    """Pairs of different components in a signature's group that sizes and
+    digests allow; with ``best``, for each set only its most promising partners
+    of no smaller size."""
+    def run(it):
+        out, held = [], 0
+        for group in runs(it, ["sig", "one", "two"]):
+            out.append(_group_pairs(group, num, den, best))
+            held += len(out[-1])
+            if held > 1 << 20:
+                yield _pair_batch(out)
+                out, held = [], 0
+        yield _pair_batch(out)
+    return run
+
+
+def _pair_batch(pairs: list) -> pa.RecordBatch:
+    p = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+
+def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.ndarray:
+    n = group.column("n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    node, root, block = (group.column(c).to_numpy()[order] for c in ("node", "root", "block"))
+    digests = group.column("digest").take(pa.array(order)).to_pylist()
+    one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+    upto = np.searchsorted(n, n * den // num, "right")  # partners of a size that is not less
+    lengths = np.array([0 if d is None else 2 * len(d) for d in digests])
+    found = []
+    matrix, row_of, wide = None, None, -1
+    for i in range(len(n)):
+        j = np.arange(i + 1, upto[i])
+        j = j[root[j] != root[i]]
+        if one != two:
+            j = j[block[j] != block[i]]
+        if not len(j):
+            continue
+        bound = np.full(len(j), n[i])  # all of the smaller set
+        sure = (lengths[j] == 0) | (lengths[i] == 0)
+        at = np.flatnonzero(~sure)
+        if len(at):
+            if lengths[i] != wide:  # sizes ascend, so each number of buckets comes once
+                wide = lengths[i]
+                rows = np.flatnonzero((lengths == wide) | (lengths == 2 * wide))
+                matrix = np.stack([c if len(c) == wide else c.reshape(2, -1).sum(0, dtype=np.uint8)
+                                   for c in (counts_of(digests[r]) for r in rows)])
+                row_of = np.full(len(n), -1)
+                row_of[rows] = np.arange(len(rows))
+            step = max(1, (1 << 22) // wide)  # at most 4 MB of counts at a time
+            for lo in range(0, len(at), step):
+                part = at[lo:lo + step]
+                bound[part] = np.minimum(matrix[row_of[j[part]]], matrix[row_of[i]]).sum(1, dtype=np.int64)
+        likely = bound / (n[i] + n[j] - bound)
+        keep = np.flatnonzero(sure | (den * bound >= num * (n[i] + n[j] - bound)))
+        j = j[keep if best is None else keep[np.argsort(-likely[keep], kind="stable")[:best]]]
+        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
 def _verified(k: int, num: int, den: int):
     def run(it):
         last: tuple = (None, None)
@@ -192,30 +295,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     texts = only(docs, doc_id=doc_id, text=text)
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     both = s.write(keyed.mapInArrow(_features(k), arrow_ddl(_FEATURES)), "features")
-    features = both.where(F.col("node").isNotNull()).select("doc_id", "text_key", "node", "n")
+    features = both.where(F.col("node").isNotNull())
     heavy = [r[0] for r in both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("c"))
              .where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).select("token").collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(heavy, np.int64).view(np.uint64)))
 
     rows = s.write(texts.select("text").mapInArrow(_signatures(k, num, den, frequent), arrow_ddl(_SIGNATURES)), "signatures")
-    shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("z")).where("centre <> z")
-    found = s.write(rows.join(shared.select("sig", "centre"), "sig"), "shared")
+    shared = (rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("z"), F.count(F.lit(1)).alias("size"))
+              .where("centre <> z").drop("z"))
+    shared = s.write(shared, "groups")  # written, so that the join can split a hot signature
+    found = s.write(rows.join(shared, "sig"), "shared")
     s.drop("signatures")
+    s.drop("groups")
     classes = features.where("n > 0").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"))
-    classes = s.write(classes.select("node", "n", "at.doc_id", "at.text_key"), "classes")
+        F.min(F.struct("doc_id", "text_key", "n", "digest")).alias("at"))
+    classes = s.write(classes.select("node", "at.*"), "classes")
 
     near = _candidates(found.select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, num, den)
     near = s.write(near, "near")
-    links = s.write(_links(near, classes, keyed, k, num, den), "links")
-    label = components(links)
-    far = _candidates(_between(s, found, label), classes, num, den).join(near, ["a", "b"], "left_anti")
-    far = s.write(far, "far")
-    more = s.write(_links(far, classes, keyed, k, num, den), "more")
-    if more.head(1):
-        label = components(links.select("a", "b").union(more.select("a", "b")))
+    links = s.write(_links(s, "near-texts", near, classes, keyed, k, num, den), "links")
+    label, tested, linked = components(links), near, links.select("a", "b")
+    # first each set's most promising partners, which joins most of a large group; then whatever is left, all of it
+    for step, best in enumerate((*PROMISING, None)):
+        far = _between(s, f"open{step}", found, label, classes, num, den, best).join(tested, ["a", "b"], "left_anti")
+        far = s.write(far, f"far{step}")
+        more = s.write(_links(s, f"texts{step}", far, classes, keyed, k, num, den), f"more{step}")
+        tested = tested.union(far)
+        if more.head(1):
+            linked = linked.union(more.select("a", "b"))
+            label = components(linked)
     node_root = s.write(label, "roots")
-    for name in ("shared", "near", "far", "links", "more"):
+    for name in ("shared", "near", "links", "near-texts", *(f"{n}{i}" for n in ("open", "far", "texts", "more") for i in range(len(PROMISING) + 1))):
         s.drop(name)
     rooted = features.join(node_root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = (rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
@@ -226,30 +336,46 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow the threshold."""
-    size = classes.select(F.col("node"), F.col("n"))
+    """Distinct pairs a < b whose sizes and digests allow the threshold."""
     p = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    p = p.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-    return p.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
-
-
-def _between(s: Scratch, found: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of a signature's sets that are in different components so far."""
-    at = found.join(label, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    for end in "ab":
+        p = p.join(classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("digest").alias(f"d{end}")), end)
+    p = p.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return p.mapInArrow(_possible(num, den), "a long, b long")
+
+
+def _between(s: Scratch, name: str, found: DataFrame, label: DataFrame, classes: DataFrame, num: int, den: int,
+             best: int | None) -> DataFrame:
+    """Pairs of a signature's sets that are in different components so far and
+    that sizes and digests allow (``best``: of large groups only, and only each
+    set's most promising ones).  In a large group the digests are compared in
+    place (block by block where it is very large), so that only possible pairs
+    become rows; the pairs of small groups are joined, then checked."""
+    at = found.join(label, "node", "left").select("sig", "node", "size", F.coalesce("root", "node").alias("root"))
     open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    at = s.write(at.join(open_, "sig"), "open")
-    roots = at.select("sig", "root").distinct()
-    meet = roots.withColumnRenamed("root", "r1").join(roots.withColumnRenamed("root", "r2"), "sig").where("r1 < r2")
-    one = at.select("sig", F.col("root").alias("r1"), F.col("node").alias("a"))
-    two = at.select("sig", F.col("root").alias("r2"), F.col("node").alias("b"))
-    return meet.join(one, ["sig", "r1"]).join(two, ["sig", "r2"]).select("a", "b")
-
-
-def _links(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    at = s.write(at.join(open_, "sig").join(classes.select("node", "n"), "node"), name)
+    small = at.where(F.col("size") < LARGE_GROUP).select("sig", "node", "root", "n")
+    other = small.select("sig", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n")))
+    few = small.join(other, "sig").where("node < node2 and root <> root2").where(
+        F.least("n", "n2") * den >= F.greatest("n", "n2") * num).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
+    large = (at.where(F.col("size") >= LARGE_GROUP).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to"))
+    large = large.join(classes.select("node", "digest"), "node").select("sig", "one", "two", "block", "node", "root", "n", "digest")
+    many = (large.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two")
+            .mapInArrow(_possible_in_groups(num, den, best), "a long, b long"))
+    if best is not None:
+        return many.distinct()
+    return _candidates(few, classes, num, den).union(many).distinct()
+
+
+def _links(s: Scratch, name: str, pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that reach the threshold, judged on their texts."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = classes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "node")
-    text = (keyed.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    need = s.write(classes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "node"), name)
+    near = in_buckets(keyed, "text_key", need, "key")
+    text = (near.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
             .select("node", "text").dropDuplicates(["node"]))
     far = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = far.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -262,3 +388,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+
+ORACLE_SQL = {"op2_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 4 THEN w ELSE w[i:i + 3] END, ' ')) AS g
+         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""}

@@ -38,9 +38,10 @@ def near_copies(seed, n_base=12, copies=14, vocabulary=400):
     return out
 
 
-@pytest.mark.parametrize("seed,k,num,den", [(1, 4, 85, 100), (2, 5, 4, 5)])
-@pytest.mark.parametrize("frequent", [2, 16])
+@pytest.mark.parametrize("seed,k,num,den,frequent", [(1, 4, 85, 100, 2), (2, 5, 4, 5, 16)])
 def test_equals_brute_force(rows, monkeypatch, seed, k, num, den, frequent):
+    monkeypatch.setattr(J, "LARGE_GROUP", 5)
+    monkeypatch.setattr(J, "GROUP_BLOCK", 3)
     monkeypatch.setattr(J, "FREQUENT", frequent)  # 2: nearly all shared tokens are indexed as combinations
     docs = near_copies(seed)
     assert got(J.jaccard_components(rows(SCHEMA, docs), k, num, den)) == jaccard_components(docs, k, num, den)
@@ -89,3 +90,15 @@ def test_signatures_meet_for_every_link(spark):
                 both = len(sets[i] & sets[j])
                 if both and 100 * both >= 85 * len(sets[i] | sets[j]):
                     assert sigs[nodes[i]] & sigs[nodes[j]], (share, texts[i], texts[j])
+
+
+def test_digests_bound_the_intersection():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 50, 500, 5000):
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        for drop in (0, 1, n // 10, n // 2):
+            y = np.concatenate([x[drop:], r.integers(0, 2**63, r.integers(0, n // 4 + 1), dtype=np.uint64)])
+            both = len(np.intersect1d(x, y))
+            assert J.most_shared(J.digest(x), J.digest(y)) >= both
+            assert J.most_shared(J.digest(y), J.digest(x)) <= min(len(x), len(y))
+    assert J.most_shared(None, J.digest(x)) is None
