@@ -128,7 +128,9 @@ def identify(docs: DataFrame, labels: str | None, host: str, declared: str | Non
     ``labels``: the column of known languages that the text models are fitted
     on (or give a ``model`` of ``fit``); ``declared``: a column of language
     tags ("en-GB" counts as "en"); ``host`` and ``suffix``: the address and the
-    group of addresses it belongs to.  Returns doc_id, declared, language,
+    group of addresses it belongs to.  Where ``declared`` names the column of
+    ``labels``, it is carried along but is no evidence: the text models were
+    fitted on it.  Returns doc_id, declared, language,
     probability, text_language (by the text alone) and accepted, one row per
     input row.  A document is accepted if its most probable language has at
     least the probability ``least``, is not "und" and, if ``languages`` are
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, labels: str | None, host: str, declared: str | Non
     fields = evidence.drop("text").schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n long, ll array<double>"
     scored = s.write(evidence.mapInArrow(_beside(shared, [f.name for f in fields]), ddl), "scored")
-    tag = F.lower(F.split(F.trim("declared"), "[-_]")[0])
+    tag = F.lower(F.split(F.trim("declared"), "[-_]")[0]) if declared != labels else F.lit(None).cast("string")
     scored = scored.withColumn("tag", F.when(tag.isin(known), tag)).withColumn(
         "alone", _softmax(F.when(F.col("n") > 0, F.col("ll")).otherwise(F.array(*([F.lit(0.0)] * (k - 1) + [F.lit(60.0)])))))
 
@@ -209,10 +211,43 @@ def _beside(model, fields: list[str]):
     return run
 
 
+def address(url: Column) -> tuple[Column, Column]:
+    """(host, suffix) of an address: the host in lower case without user, port and
+    final dot, and its last label ("de" of "www.example.de").  Both are null where
+    the address names no host; a bare name or a number (IP) has no suffix."""
+    found = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]+)", 1)
+    host = F.regexp_replace(found, r"\.+$", "")
+    suffix = F.regexp_extract(host, r"\.([^.\d\[\]][^.\[\]]*)$", 1)
+    return F.when(host != "", host), F.when(suffix != "", suffix)
+
+
+def markup(html: Column) -> tuple[Column, Column]:
+    """(declared language, text) of a page: the ``lang`` (or ``xml:lang``) attribute
+    of its html tag, null where there is none, and what stands outside comments,
+    scripts, styles and tags.  Character references become blanks."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+    other = r"""(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?"""
+    said = F.regexp_extract(bare, rf"""(?i)<html{other}\s+(?:xml:)?lang\s*=\s*["']?\s*([a-z0-9_-]+)""", 1)
+    text = F.regexp_replace(F.regexp_replace(bare, r"</?[A-Za-z!?][^>]*>", " "), r"&#?\w+;", " ")
+    return F.when(said != "", said), F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``: ``source`` is the host, ``lang`` the declared language
-    and, of a bounded sample, the label of the text models."""
+    """All ``documents``: ``source`` is the host and ``lang``, of a bounded sample, the
+    label of the text models.  The table has neither addresses nor markup, so
+    there is no suffix and no declared language beside the label."""
     return identify(table(spark, sf_dir, "documents"), labels="lang", host="source", declared="lang")
 
 
-QUERIES = {"op8_language_id": op8_language_id}
+def op8_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages``, with every kind of evidence: host and suffix of the url, the
+    html tag's declared language and the page's text under models of ``documents``.
+    ``doc_id`` is the page_id."""
+    (host, suffix), (declared, text) = address(F.col("url")), markup(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), suffix.alias("suffix"),
+                                                 declared.alias("declared"), text.alias("text"))
+    model = fit(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("label")))
+    return identify(pages, None, "host", "declared", "suffix", model=model, doc_id="page_id")
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op8_page_language_id": op8_page_language_id}

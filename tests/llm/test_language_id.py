@@ -111,3 +111,52 @@ def test_held_out_accuracy(spark):
 def test_query_keeps_documents(spark):
     out = L.op8_language_id(spark, "/root/testdata/sf0.01").collect()
     assert len(out) == 1000 and np.mean([r.accepted and r.language == r.declared for r in out]) > .99
+
+
+def test_address_and_markup(rows):
+    urls = {"http://WWW.Example.DE:80/a?b=c": ("www.example.de", "de"), "https://u:p@x.co.uk./": ("x.co.uk", "uk"), "//a.fr": ("a.fr", "fr"),
+            "http://10.0.0.1/x.de": ("10.0.0.1", None), "http://[::1]:8/": ("[::1]", None), "http://localhost/": ("localhost", None),
+            "mailto:a@b.de": (None, None), "": (None, None), None: (None, None)}
+    host, suffix = L.address(L.F.col("u"))
+    got = rows("u string", [(u,) for u in urls]).select("u", host.alias("h"), suffix.alias("s")).collect()
+    assert {r.u: (r.h, r.s) for r in got} == urls
+    pages = {'<!DOCTYPE html><html lang="fr"><style>p{}</style><script>var t="</p>"</script><p>l&eacute; <b>a</b></p>': ("fr", "l a"),
+             "<HTML class='a lang=xx' data-lang=yy xml:lang = de-AT><p>x < y</p>": ("de-AT", "x < y"),
+             "<!--<html lang=en>--><html>z": (None, "z"), "no markup": (None, "no markup"), "": (None, ""), None: (None, None)}
+    declared, text = L.markup(L.F.col("h"))
+    got = rows("h string", [(h,) for h in pages]).select("h", declared.alias("d"), text.alias("t")).collect()
+    assert {r.h: (r.d, r.t) for r in got} == pages
+
+
+def test_label_is_no_second_evidence(rows):
+    """A label that the text contradicts must not outvote it through the declared language."""
+    docs = [(d[0], d[1], d[5], d[3]) for d in corpus(3)]
+    df = rows("doc_id long, text string, lang string, host string", docs)
+    alone = {r.doc_id: (r.language, r.probability) for r in L.identify(df, "lang", "host").collect()}
+    both = L.identify(df, "lang", "host", declared="lang").collect()
+    assert {r.doc_id: (r.language, r.probability) for r in both} == {d: (x, pytest.approx(p)) for d, (x, p) in alone.items()}
+    assert {r.doc_id: r.declared for r in both} == {d[0]: d[2] for d in docs}
+
+
+def test_page_query_uses_every_evidence(spark, tmp_path):
+    words = {"en": "the whering on ther ", "de": "die schung einkei ung "}
+    docs = [(i, words[x] * 9, x) for i, x in enumerate(["en", "de"] * 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = lambda lang, x: f"<html{lang}><p>{x}</p></html>"
+    pages = [(i, f"http://h{i % 3}.example.de/{i}", page("", words["de"] * 9)) for i in range(60)]
+    pages += [(i, f"http://h{i % 3}.example.com/{i}", page(" lang=en", words["en"] * 9)) for i in range(60, 120)]
+    # texts that tell nothing: by the suffix of a new host, and by the markup of one without address
+    pages += [(200, "http://new.example.de/", page("", "qqq")), (201, "http://new.example.com/", page("", "qqq")),
+              (202, None, page(" lang='en-GB'", "qqq")), (202, None, page(" lang='en-GB'", "qqq")), (203, "http://10.0.0.1/", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = L.op8_page_language_id(spark, str(tmp_path)).collect()
+    assert len(out) == len(pages)
+    share = {r.doc_id: r for r in out}
+    assert share[10].language == "de" and share[70].language == "en" and share[70].declared == "en"
+    assert share[200].language == "de" and share[201].language == "en" and share[202].language == "en"
+    assert share[203].language == "und"
+
+
+def test_page_query(spark):
+    out = L.op8_page_language_id(spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == 250 and np.mean([r.accepted and r.language == r.declared for r in out]) > .95
