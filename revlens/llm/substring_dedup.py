@@ -33,9 +33,10 @@ POSITION = 30
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 2**64)
 
-_RUNS = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+_RUNS = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("s", pa.int32()),
+                   ("n", pa.int32())])
 _WINDOWS = pa.schema([("w", pa.int64()), ("a", pa.int64()), ("c", pa.int64()), ("j", pa.int32())])
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("len", pa.int32()), ("digest", pa.binary())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("len", pa.int32()), ("digest", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                   ("text", pa.string())])
 
@@ -82,8 +83,8 @@ def _runs(span: int):
             s, e, p = first[head], first[tail], anchor[head]
             content = _content(_sums(words.hash), s, e + span) + (p - s).astype(np.uint64)
             doc = np.searchsorted(words.first, s, "right") - 1
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            yield record_batch(_RUNS, g[p].view(np.int64), content.view(np.int64), ids, s - words.first[doc], tail - head + 1)
+            ids, keys = (b.column(x).to_numpy(zero_copy_only=False)[doc] for x in ("doc_id", "key"))
+            yield record_batch(_RUNS, g[p].view(np.int64), content.view(np.int64), ids, keys, s - words.first[doc], tail - head + 1)
     return run
 
 
@@ -109,16 +110,17 @@ def _windows(span: int):
 def _digests(it):
     """Digests of the word ranges asked for in each document."""
     for b in it:
-        ids, ats, lens, out = [], [], [], []
+        ids, keys, ats, lens, out = [], [], [], [], []
         asked = b.column("asked")
-        for i, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
+        for i, (doc, key, text) in enumerate(zip(*(b.column(x).to_pylist() for x in ("doc_id", "key", "text")))):
             w = text.encode().split()
             for r in asked[i].as_py():
                 ids.append(doc)
+                keys.append(key)
                 ats.append(r["at"])
                 lens.append(r["len"])
                 out.append(hashlib.sha1(b" ".join(w[r["at"]:r["at"] + r["len"]])).digest())
-        yield record_batch(_DIGESTS, ids, ats, lens, out)
+        yield record_batch(_DIGESTS, ids, keys, ats, lens, out)
 
 
 def _kept(with_text: bool):
@@ -146,9 +148,9 @@ def _kept(with_text: bool):
 
 
 def _asked(requests: DataFrame, docs: DataFrame, *fields: str) -> DataFrame:
-    """Documents with the list of their requests (doc_id, fields...)."""
-    lists = requests.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("asked"))
-    return docs.join(lists, "doc_id")
+    """Documents with the list of their requests (doc_id, key, fields...)."""
+    lists = requests.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    return docs.join(lists, ["doc_id", "key"])
 
 
 def remove_repeats(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text: str = "text",
@@ -158,8 +160,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, the kept
     words joined by one space; one row per input row.  A null text has no
-    words.  Rows with equal doc_ids never remove from each other (of one
-    doc_id, the row with the smallest text serves as source); rows without
+    words.  Rows with equal doc_ids never remove from each other, but each is a
+    text of its own that loses words and serves as a source; rows without
     doc_id neither lose words nor are a source.  Other columns are ignored; an
     empty table gives none.
     """
@@ -168,45 +170,48 @@ def remove_repeats(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     spark = docs.sparkSession
     s = Scratch(spark, "substrings")
     texts = only(docs, doc_id=doc_id, text=text)
-    runs = s.write(texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-                   .mapInArrow(_runs(span), arrow_ddl(_RUNS)), "runs")
+    # the key tells texts of one doc_id apart; equal rows share it and are looked at once
+    again = _repeats(texts)
+    texts = texts.withColumn("key", F.xxhash64("text") if again else F.lit(0).cast("long"))
+    sources = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    if again:
+        sources = s.write(sources.dropDuplicates(["doc_id", "key"]), "sources")
+    runs = s.write(sources.mapInArrow(_runs(span), arrow_ddl(_RUNS)), "runs")
     # grouped tables are written before they are joined: the join can then split a hot anchor
     shared = s.write(runs.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a"),
                      "shared")
     found = s.write(runs.join(shared, "a", "left_semi"), "found")
     s.drop("runs")
-    paths = s.write(found.groupBy("a", "c").agg(F.min(F.struct("doc_id", "s")).alias("at"), F.max("doc_id").alias("last"),
+    paths = s.write(found.groupBy("a", "c").agg(F.min(F.struct("doc_id", "key", "s")).alias("at"), F.max("doc_id").alias("last"),
                                                 F.first("n").alias("n")), "paths")
     branching = s.write(paths.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "branching")
     # paths that never branch: the first document holds all their windows
     single = paths.join(branching, "a", "left_anti").where("at.doc_id < last").select(
-        "a", "c", F.lit(0).alias("j"), "n", F.col("at.doc_id").alias("src"), F.col("at.s").alias("src_at"))
+        "a", "c", F.lit(0).alias("j"), "n", F.col("at.doc_id").alias("src"), F.col("at.key").alias("src_key"), F.col("at.s").alias("src_at"))
     # the others, window by window
-    unfold = paths.join(branching, "a", "left_semi").select(F.col("at.doc_id").alias("doc_id"), "a", "c", F.col("at.s").alias("s"), "n")
-    sources = texts.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(texts) \
-        else texts
+    unfold = paths.join(branching, "a", "left_semi").select("at.doc_id", "at.key", "a", "c", "at.s", "n")
     windows = s.write(_asked(unfold, sources, "a", "c", "s", "n").select("text", "asked")
                       .mapInArrow(_windows(span), arrow_ddl(_WINDOWS)), "windows")
     placed = windows.join(paths.select("a", "c", "at", "last"), ["a", "c"])
-    firsts = placed.groupBy("w").agg(F.min(F.struct(F.col("at.doc_id").alias("doc_id"), (F.col("at.s") + F.col("j")).alias("s"))).alias("first"))
+    firsts = placed.groupBy("w").agg(F.min(F.struct("at.doc_id", "at.key", (F.col("at.s") + F.col("j")).alias("s"))).alias("first"))
     several = placed.select("w", "a", "c", "j", "last").join(firsts, "w").where("first.doc_id < last").select(
-        "a", "c", "j", F.lit(1).alias("n"), F.col("first.doc_id").alias("src"), F.col("first.s").alias("src_at"))
+        "a", "c", "j", F.lit(1).alias("n"), F.col("first.doc_id").alias("src"), F.col("first.key").alias("src_key"), F.col("first.s").alias("src_at"))
     marks = s.write(single.union(several), "marks")
-    hits = found.select("a", "c", "doc_id", "s").join(marks, ["a", "c"]).where("src < doc_id").select(
-        "doc_id", (F.col("s") + F.col("j")).alias("at"), "n", "src", "src_at")
+    hits = found.select("a", "c", "doc_id", "key", "s").join(marks, ["a", "c"]).where("src < doc_id").select(
+        "doc_id", "key", (F.col("s") + F.col("j")).alias("at"), "n", "src", "src_key", "src_at")
     spans = s.write(_compacted(hits, span), "spans")
     for name in ("shared", "branching", "found", "paths", "windows", "marks"):
         s.drop(name)
-    wanted = spans.select("doc_id", "at", "len").union(spans.select(F.col("src").alias("doc_id"), F.col("src_at").alias("at"), "len")).distinct()
-    digests = s.write(_asked(wanted, sources, "at", "len").select("doc_id", "text", "asked")
+    wanted = spans.select("doc_id", "key", "at", "len").union(spans.select("src", "src_key", "src_at", "len")).distinct()
+    digests = s.write(_asked(wanted, sources, "at", "len").select("doc_id", "key", "text", "asked")
                       .mapInArrow(_digests, arrow_ddl(_DIGESTS)), "digests")
     own = digests.withColumnRenamed("digest", "own")
-    there = digests.select(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), "len", F.col("digest").alias("there"))
-    sure = spans.join(own, ["doc_id", "at", "len"]).join(there, ["src", "src_at", "len"]).where("own = there")
-    cut = s.write(sure.groupBy("doc_id").agg(F.collect_list(F.struct("at", "len")).alias("cut")), "cut")
-    s.drop("spans")
-    s.drop("digests")
-    out = texts.join(cut, "doc_id", "left").mapInArrow(_kept(with_text), arrow_ddl(_OUT))
+    there = digests.select(F.col("doc_id").alias("src"), F.col("key").alias("src_key"), F.col("at").alias("src_at"), "len", F.col("digest").alias("there"))
+    sure = spans.join(own, ["doc_id", "key", "at", "len"]).join(there, ["src", "src_key", "src_at", "len"]).where("own = there")
+    cut = s.write(sure.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "len")).alias("cut")), "cut")
+    for name in ("spans", "digests", "sources"):
+        s.drop(name)
+    out = texts.join(cut, ["doc_id", "key"], "left").mapInArrow(_kept(with_text), arrow_ddl(_OUT))
     return out if with_text else out.drop("text")
 
 
@@ -216,14 +221,14 @@ def _repeats(texts: DataFrame) -> bool:
 
 def _compacted(hits: DataFrame, span: int) -> DataFrame:
     """Runs of windows that continue each other both in the document and at the
-    source become one span (doc_id, at, len in words, src, src_at)."""
-    order = Window.partitionBy("doc_id").orderBy("at")
-    before = F.lag(F.struct((F.col("at") + F.col("n")).alias("at"), "src", (F.col("src_at") + F.col("n")).alias("src_at"))).over(order)
-    new = F.when(before == F.struct("at", "src", "src_at"), 0).otherwise(1)
+    source become one span (doc_id, key, at, len in words, src, src_key, src_at)."""
+    order = Window.partitionBy("doc_id", "key").orderBy("at")
+    before = F.lag(F.struct((F.col("at") + F.col("n")).alias("at"), "src", "src_key", (F.col("src_at") + F.col("n")).alias("src_at"))).over(order)
+    new = F.when(before == F.struct("at", "src", "src_key", "src_at"), 0).otherwise(1)
     part = hits.withColumn("new", new).withColumn("path", F.sum("new").over(order))
-    return part.groupBy("doc_id", "path").agg(
+    return part.groupBy("doc_id", "key", "path").agg(
         F.min("at").alias("at"), (F.sum("n") + (span - 1)).cast("int").alias("len"),
-        F.first("src").alias("src"), F.min("src_at").alias("src_at")).drop("path")
+        F.first("src").alias("src"), F.first("src_key").alias("src_key"), F.min("src_at").alias("src_at")).drop("path")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,27 @@ def test_edge_rows(rows):
     assert sorted((r.doc_id or -1, r.n_removed) for r in again) == [(-1, 0), (3, 0), (3, 0), (4, 12)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equal_ids_with_different_texts(rows, seed):
+    """Every row of a doc_id loses words by its own text and is a source of its own."""
+    docs = [(None if d % 17 == 0 else d // 9, t) for d, t in passages(seed, 90)]
+    docs += [docs[0], docs[0], (5, None), (5, None), (5, ""), (0, "short")]
+    first = {}
+    for d, t in docs:
+        w = (t or "").split()
+        for i in range(len(w) - 11 if d is not None else 0):
+            key = tuple(w[i:i + 12])
+            first[key] = min(first.get(key, d), d)
+    want = []
+    for d, t in docs:
+        w = (t or "").split()
+        gone = {j for i in range(len(w) - 11) if d is not None and first[tuple(w[i:i + 12])] < d for j in range(i, i + 12)}
+        want.append((-1 if d is None else d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    out = S.remove_repeats(rows(SCHEMA, docs), span=12).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.text) for r in out) == sorted(want)
+    assert sum(x[2] for x in want) > 0
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
