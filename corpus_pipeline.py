@@ -51,12 +51,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by 5-word shingle sets of similarity 0.8 or more, the one with the smallest doc_id stays."""
+    """Of documents joined by 5-word shingle sets of similarity 0.8 or more, the one with the smallest doc_id stays.
+
+    Of equal doc_ids the smaller text hash stays, and a row without doc_id only
+    where no other one is in the group.  Rows that agree in doc_id and text are
+    one document: of those the smallest lang, source and n_chars stays.
+    """
     docs = docs.select(*COLUMNS)
     s = Scratch(spark, "pipeline-near")
-    groups = jaccard_components(docs, k=5, num=4, den=5)
-    gone = s.write(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+    groups = s.write(jaccard_components(docs, k=5, num=4, den=5, keys=True)
+                     .select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "component_id", "component_key"), "groups")
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    gone = s.write(groups.where(~stays).select("id", "key").distinct(), "gone")
+    left = _matched(docs, gone, "left_anti")
+    again = s.write(groups.where(stays).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    if not again.head(1):
+        return left.select(*COLUMNS)
+    least = F.min(F.struct("lang", "source", "n_chars", "text")).alias("least")
+    one = _matched(docs, again, "left_semi").groupBy("doc_id", "text_key").agg(least).select("doc_id", "least.*")
+    others = left.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_anti")
+    return others.select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

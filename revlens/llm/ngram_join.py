@@ -277,7 +277,7 @@ def _verified(k: int, num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
-                       doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                       doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
     """Components of the documents whose k-word shingle sets have a Jaccard
     similarity of at least ``num / den`` (0.75 or more).
 
@@ -286,7 +286,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     text, or one of spaces only, has an empty set, which links with nothing.
     Rows with equal doc_ids are documents of their own that carry the same id.
     A null doc_id takes part but is never a component's id unless all its
-    members lack one.  Other columns are ignored; an empty table gives none.
+    members lack one.  With ``keys``, text_key (xxhash64 of the text) and
+    component_key are added: (doc_id, text_key) names a row, and (component_id,
+    component_key) the component's smallest one, rows without doc_id last.
+    Other columns are ignored; an empty table gives none.
     """
     if 4 * num < 3 * den or num > den:
         raise ValueError("the threshold must be from 0.75 to 1")
@@ -328,6 +331,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     for name in ("shared", "near", "links", "near-texts", *(f"{n}{i}" for n in ("open", "far", "texts", "more") for i in range(len(PROMISING) + 1))):
         s.drop(name)
     rooted = features.join(node_root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if keys:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+        least = (rooted.where("n > 0").groupBy("root").agg(first.alias("first"))
+                 .select("root", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("component_key")))
+        linked = F.col("n") > 0
+        return (rooted.join(least, "root", "left")
+                .select("doc_id", "text_key", F.col("n").alias("n_shingles"),
+                        F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                        F.when(linked, F.col("component_key")).otherwise(F.col("text_key")).alias("component_key")))
     least = (rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     # classes of one document need no join: the smallest ids of roots come back only where there are links or copies
     return (rooted.join(least, "root", "left")

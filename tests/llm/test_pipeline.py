@@ -91,6 +91,25 @@ def test_edge_rows(spark, rows):
             assert table or not got
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark, rows):
+    """Exactly one row of every component stays, and no row of another one goes."""
+    key = lambda t: spark.range(1).select(C.F.xxhash64(C.F.lit(t))).first()[0]
+    long = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    x, y, z, u, v = (long(w) for w in "xyzuv")
+    near = lambda t: t + " more"
+    data = [(3, y), (7, y), (7, x),                       # (7, x) stands alone
+            (9, z), (9, z), (9, near(z)),                 # repeats and a near copy under one id
+            (None, u), (None, near(u)), (None, u),        # copies without id
+            (11, v), (None, v), (None, near(v)),          # a null id goes before any other
+            (20, ""), (20, ""), (21, ""), (None, None), (None, None)]  # empty texts link with nothing
+    table = [(d, t, "en", f"s{i}", len(t or "")) for i, (d, t) in enumerate(data)]
+    z_kept, u_kept = min((z, near(z)), key=key), min((u, near(u)), key=key)
+    source = lambda d, t: min(f"s{i}" for i, row in enumerate(data) if row == (d, t))
+    want = [(3, y), (7, x), (9, z_kept), (None, u_kept), (11, v), (20, ""), (21, ""), (None, None)]
+    out = C.near_duplicates(spark, rows(SCHEMA, table), "").collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter((d, t, source(d, t)) for d, t in want)
+
+
 def test_run(spark, stages):
     out = C.run(spark, "/root/testdata/sf0.01")
     assert Counter((r.doc_id, r.n_tokens) for r in out.collect()) == Counter((r.doc_id, r.n_tokens) for r in stages["byte_bpe"][1])
