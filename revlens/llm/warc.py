@@ -44,11 +44,12 @@ def _record(headers: list[tuple[str, object]], block: str) -> str:
     return f"{VERSION}\r\n{lines}Content-Length: {len(block.encode())}\r\n\r\n{block}"
 
 
-def _records(page_id, url, html, sha1, refers_to, segment_bytes: int, chunk: int):
+def _records(page_id, url, html, sha1, refers_to, segment_bytes: int, chunk: int, twin: str | None = None):
     digest = digest32(sha1)
     name = lambda page: f"<urn:page:{'' if page is None else page}:{digest}>"
+    own = name(page_id) if twin is None else f"{name(page_id)[:-1]}.{twin}>"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or None
-    common = [("WARC-Record-ID", name(page_id)), ("WARC-Target-URI", uri),
+    common = [("WARC-Record-ID", own), ("WARC-Target-URI", uri),
               ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/http;msgtype=response"),
               ("WARC-Payload-Digest", f"sha1:{digest}")]
     status = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -67,18 +68,18 @@ def _records(page_id, url, html, sha1, refers_to, segment_bytes: int, chunk: int
         if n == 1:
             yield _record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", 1)], part)
         else:
-            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name(page_id)[:-1]}:{n}>"),
-                           ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", name(page_id)),
+            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{n}>"),
+                           ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", own),
                            ("WARC-Segment-Total-Length", len(block.encode()) if n == len(parts) else None)], part)
 
 
 def _written(segment_bytes: int, chunk: int):
     def run(it):
         for b in it:
-            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to")]
+            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to", "twin")]
             out, size = [], 0
-            for row in zip(*columns):
-                for r in _records(*row, segment_bytes, chunk):
+            for *row, twin in zip(*columns):
+                for r in _records(*row, segment_bytes, chunk, twin):
                     out.append(r)
                     size += len(r)
                 if size > 1 << 24:
@@ -95,8 +96,9 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, ch
 
     The payload is the html in UTF-8; null is empty.  Of pages with equal
     payloads of at least ``revisit_bytes`` the one with the smallest page_id is
-    the response, the others revisit it.  Rows that agree in page_id and
-    payload are one page and written once; a null page_id comes after all
+    the response, the others revisit it.  Rows that agree in page_id,
+    url and payload are one page and written once (of several urls, all but
+    the smallest have its hash in the record's identifier); a null page_id comes after all
     others; a null url is left out.  An empty table gives no archive.
     """
     spark = pages.sparkSession
@@ -111,13 +113,22 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, ch
               .select(F.col("page_id").alias("id"), F.col("sha1").alias("key"), F.col("first").alias("refers_to")))
     refers = s.write(refers, "refers")
     if digests.groupBy("page_id", "sha1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
-        base = base.dropDuplicates(["page_id", "sha1"])
+        # the smallest url has the plain identifier, which revisits refer to
+        least = (base.select("page_id", "sha1", "url").distinct().groupBy("page_id", "sha1")
+                 .agg(F.min(F.struct("url")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        least = s.write(least.select(F.col("page_id").alias("of"), F.col("sha1").alias("with"), F.col("least.url").alias("plain")), "twins")
+        base = (base.dropDuplicates(["page_id", "url", "sha1"])
+                .join(least, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha1") == F.col("with")), "left")
+                .withColumn("twin", F.when(F.col("with").isNotNull() & ~F.col("url").eqNullSafe(F.col("plain")), F.hex(F.xxhash64("url")))))
+    else:
+        base = base.withColumn("twin", F.lit(None).cast("string"))
     rows = base.join(refers, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("key")), "left")
-    (rows.select("page_id", "url", "html", "sha1", "refers_to")
+    (rows.select("page_id", "url", "html", "sha1", "refers_to", "twin")
      .mapInArrow(_written(segment_bytes, chunk), arrow_ddl(_RECORD))
      .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 10_000).text(path))
     s.drop("digests")
     s.drop("refers")
+    s.drop("twins")
 
 
 def _inflated(content: bytes, step: int = 1 << 20):

@@ -45,6 +45,18 @@ def test_edge_rows(spark, rows, tmp_path):
     assert [out[i][2] for i in (1, 2, 3, 4)] == ["response", "response", "response", "revisit"]
 
 
+def test_equal_payloads_of_other_urls(spark, rows, tmp_path):
+    """Rows that agree in page_id and payload but not in the url are pages of their own, in segments too."""
+    pages = [(1, "a", "x" * 99), (1, "b", "x" * 99), (1, None, "x" * 99), (2, "a", "x" * 99), (2, "c", "x" * 99), (None, "d", "y"), (None, "e", "y")]
+    for i, size in enumerate((64, 1 << 16)):
+        out = round_trip(spark, rows(SCHEMA, pages), f"{tmp_path}/{i}", segment_bytes=size, chunk=10).collect()
+        assert sorted(((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to, r.status) for r in out), key=str) == sorted(
+            ((p, u, len(h), "revisit" if p == 2 else "response", 1 if p == 2 else None, "ok") for p, u, h in pages), key=str)
+        heads = [h for f in (tmp_path / str(i)).glob("*.gz") for h, _ in A.records(f.read_bytes())]
+        ids = [h["warc-record-id"] for h in heads]
+        assert len(set(ids)) == len(ids) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= set(ids)
+
+
 def test_damaged_archives(spark, tmp_path):
     """Segments in any order and file are reassembled; a lost, cut or altered one is told."""
     html = "h" * 500
