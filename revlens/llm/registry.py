@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import (byte_bpe, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, spelling,
-               substring_dedup, warc)
+from . import (byte_bpe, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, prefix_trie,
+               secret_scan, spelling, substring_dedup, warc)
 
-_MODULES = (byte_bpe, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, spelling,
-            substring_dedup, warc)
+_MODULES = (byte_bpe, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, prefix_trie,
+            secret_scan, spelling, substring_dedup, warc)
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
