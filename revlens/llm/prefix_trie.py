@@ -40,7 +40,6 @@ ENDS = 4096
 #: Copies of the (few) heads that members of one head are dealt to.
 SALTS = 16
 
-_LEVELS = CHUNK.bit_length() - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _SUMS = pa.schema([("conv", pa.int64()), ("chunk", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int64())])
 _PATH = pa.schema([("conv", pa.int64()), ("depth", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("p1", pa.int64()),
@@ -101,14 +100,23 @@ def grafted(turns: DataFrame, conv: str = "conv_id", every: int = 5, most: int =
     return convs.select("conv", size.alias("size")), heads.unionByName(tails)
 
 
-def _chunk_of(pos):
-    small = (F.length(F.bin(pos)) - 1).cast("long")
-    return F.when(pos < CHUNK, small).otherwise(_LEVELS + F.floor((pos - CHUNK) / CHUNK).cast("long"))
+class Chunks:
+    """Where chunks start and end, for chunks of up to ``most`` turns (a power of two)."""
 
+    def __init__(self, most: int):
+        self.most, self.levels = most, most.bit_length() - 1
 
-def _start_of(chunk: int) -> int:
-    """Depth before a chunk's first turn."""
-    return (1 << chunk) - 1 if chunk < _LEVELS else CHUNK - 1 + (chunk - _LEVELS) * CHUNK
+    def of(self, pos):
+        small = (F.length(F.bin(pos)) - 1).cast("long")
+        return F.when(pos < self.most, small).otherwise(self.levels + F.floor((pos - self.most) / self.most).cast("long"))
+
+    def before(self, chunk: int) -> int:
+        """Depth before a chunk's first turn."""
+        return (1 << chunk) - 1 if chunk < self.levels else self.most - 1 + (chunk - self.levels) * self.most
+
+    def last(self, chunk):
+        """Depth of a chunk's last turn."""
+        return F.when(chunk < self.levels, F.pow(F.lit(2.0), chunk + 1).cast("long") - 1).otherwise((chunk - self.levels + 2) * self.most - 1)
 
 
 def _unpacked(b: pa.RecordBatch):
@@ -132,22 +140,24 @@ def _power(base: int, exponent: np.ndarray) -> np.ndarray:
     return out
 
 
-def _terms(b: pa.RecordBatch):
+def _terms(b: pa.RecordBatch, chunks: Chunks):
     """Each turn's part of the node hashes, by its depth."""
     row, place, t1, t2, size = _unpacked(b)
     chunk = b.column("chunk").to_numpy()
-    start = np.array([_start_of(int(c)) for c in chunk], np.int64)
+    start = np.array([chunks.before(int(c)) for c in chunk], np.int64)
     depth = start[row] + place + 1
     return row, place, depth, W.mix(t1) * _power(_A, depth), W.mix(t2) * _power(_B, depth), size
 
 
-def _chunk_sums(it):
-    for b in it:
-        row, _, _, a, c, size = _terms(b)
-        out = [np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)]
-        for total, x in zip(out, (a, c, size)):
-            np.add.at(total, row, x)
-        yield record_batch(_SUMS, b.column("conv"), b.column("chunk"), out[0].view(np.int64), out[1].view(np.int64), out[2])
+def _chunk_sums(chunks: Chunks):
+    def run(it):
+        for b in it:
+            row, _, _, a, c, size = _terms(b, chunks)
+            out = [np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)]
+            for total, x in zip(out, (a, c, size)):
+                np.add.at(total, row, x)
+            yield record_batch(_SUMS, b.column("conv"), b.column("chunk"), out[0].view(np.int64), out[1].view(np.int64), out[2])
+    return run
 
 
 def _grouped_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -158,16 +168,18 @@ def _grouped_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total - np.repeat(before[heads], np.diff(np.r_[heads, len(x)])) if len(x) else total
 
 
-def _paths(it):
+def _paths(chunks: Chunks):
     """Nodes of every depth that the chunks reach: rows (conv, chunk, turns, the
     sums before the chunk, size of the conversation)."""
-    for b in it:
-        row, place, depth, a, c, size = _terms(b)
-        s1, s2, upto, total = (b.column(k).to_numpy()[row] for k in ("s1", "s2", "size_before", "size"))
-        n1, n2 = (_grouped_sums(x, place) + s.view(np.uint64) for x, s in ((a, s1), (c, s2)))
-        p1, p2 = n1 - a, n2 - c
-        yield record_batch(_PATH, b.column("conv").to_numpy()[row], depth, *(x.view(np.int64) for x in (n1, n2, p1, p2)),
-                           size, _grouped_sums(size, place) + upto, total)
+    def run(it):
+        for b in it:
+            row, place, depth, a, c, size = _terms(b, chunks)
+            s1, s2, upto, total = (b.column(k).to_numpy()[row] for k in ("s1", "s2", "size_before", "size"))
+            n1, n2 = (_grouped_sums(x, place) + s.view(np.uint64) for x, s in ((a, s1), (c, s2)))
+            p1, p2 = n1 - a, n2 - c
+            yield record_batch(_PATH, b.column("conv").to_numpy()[row], depth, *(x.view(np.int64) for x in (n1, n2, p1, p2)),
+                               size, _grouped_sums(size, place) + upto, total)
+    return run
 
 
 def _prefixed(chunks: DataFrame, sums: DataFrame) -> DataFrame:
@@ -246,36 +258,37 @@ class _Sweep:
             yield conv, before + sum(sizes[:own]), leaf
 
 
-def _sweep(it):
+def _sweep(chunks: Chunks):
     """Sorted chunk rows of the containers' members -> nodes, and what the heads need of each member."""
-    for group in runs(it, ["n1", "n2"]):
-        members, rows = {}, group.to_pylist()
-        depth, above = rows[0]["depth"], rows[0]["parent_conv_id"]
-        for r in rows:
-            first = _start_of(r["chunk"]) + 1
-            if r["conv"] not in members:
-                members[r["conv"]] = ([], r["conv"], r["upto"], [])
-            ids, _, _, sizes = members[r["conv"]]
-            for t in r["turns"][max(0, depth - first):]:
-                ids.append((t["t1"], t["t2"]))
-                sizes.append(t["bytes"])
-        swept = _Sweep([(ids, conv, upto - sizes[0], sizes) for ids, conv, upto, sizes in members.values()]).run()
-        out = []
-        for k, up, conv, n, children, leaves, saved, ends, _ in swept.nodes:
-            out.append((conv, depth + k, above if up is None else swept.nodes[up][2], n, children, leaves, saved,
-                        hashlib.sha256(",".join(map(str, sorted(ends))).encode()).hexdigest(), None, None, None))
-        out += [(None,) * 8 + m for m in swept.owned()]
-        for a in range(0, len(out), 8192):
-            yield record_batch(_SWEPT, *map(list, zip(*out[a:a + 8192])))
-
-
-def _joined(it):
-    """Sorted (n1, n2, conv) -> rows of up to ``ENDS`` numbers of one node, comma-joined."""
-    for group in runs(it, ["n1", "n2"]):
-        ids = group.column("conv").to_numpy()
-        n1, n2 = group.column("n1")[0], group.column("n2")[0]
-        for a in range(0, len(ids), ENDS):
-            yield record_batch(_JOINED, [n1.as_py()], [n2.as_py()], ids[a:a + 1], [",".join(map(str, ids[a:a + ENDS].tolist()))])
+    def run(it):
+        for group in runs(it, ["n1", "n2"]):
+            members, rows = {}, group.to_pylist()
+            depth, above = rows[0]["depth"], rows[0]["parent_conv_id"]
+            for r in rows:
+                ids, sizes, _ = members.setdefault(r["conv"], ([], [], r["upto"]))
+                for t in r["turns"][max(0, depth - chunks.before(r["chunk"]) - 1):]:
+                    ids.append((t["t1"], t["t2"]))
+                    sizes.append(t["bytes"])
+            swept = _Sweep([(ids, conv, upto - sizes[0], sizes) for conv, (ids, sizes, upto) in members.items()]).run()
+            out = []
+            for k, up, conv, n, children, leaves, saved, ends, _ in swept.nodes:
+                out.append((conv, depth + k, above if up is None else swept.nodes[up][2], n, children, leaves, saved,
+                            hashlib.sha256(",".join(map(str, sorted(ends))).encode()).hexdigest(), None, None, None))
+            out += [(None,) * 8 + m for m in swept.owned()]
+            for a in range(0, len(out), 8192):
+                yield record_batch(_SWEPT, *map(list, zip(*out[a:a + 8192])))
+    return run
+
+
+def _joined(most: int):
+    """Sorted (n1, n2, conv) -> rows of up to ``most`` numbers of one node, comma-joined."""
+    def run(it):
+        for group in runs(it, ["n1", "n2"]):
+            ids = group.column("conv").to_numpy()
+            n1, n2 = group.column("n1")[0], group.column("n2")[0]
+            for a in range(0, len(ids), most):
+                yield record_batch(_JOINED, [n1.as_py()], [n2.as_py()], ids[a:a + 1], [",".join(map(str, ids[a:a + most].tolist()))])
+    return run
 
 
 def _hashed(it):
@@ -294,7 +307,7 @@ def _hashed(it):
         yield record_batch(_ENDS, [now[0]], [now[1]], [digest.hexdigest()])
 
 
-def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER) -> DataFrame:
+def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER, chunk: int = CHUNK) -> DataFrame:
     """The trie of conversations: ``convs`` (conv, size) with every distinct
     conversation once, ``turns`` (conv, pos from 1 on, t1, t2, bytes) with two
     64-bit ids of each turn's content.
@@ -302,15 +315,16 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER) -> Da
     Returns a row per node: conv_id (smallest member), depth, parent_conv_id,
     n_convs, n_children, n_leaves, saved_tokens and ends_sha256.  Conversations
     without turns are members of the root alone; without conversations there is
-    no node.  ``most`` bounds what one task sweeps at a time, not the result.
+    no node.  ``most`` bounds what one task sweeps at a time and ``chunk`` the
+    turns that travel in one row, neither the result.
     """
-    spark = turns.sparkSession
+    spark, at = turns.sparkSession, Chunks(chunk)
     s = Scratch(spark, "trie")
     convs = s.write(convs, "convs")
-    chunked = turns.withColumn("chunk", _chunk_of(F.col("pos"))).groupBy("conv", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "t1", "t2", "bytes"))).alias("turns"))  # at most CHUNK turns
+    chunked = turns.withColumn("chunk", at.of(F.col("pos"))).groupBy("conv", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "t1", "t2", "bytes"))).alias("turns"))  # at most ``chunk`` turns
     chunks = s.write(chunked, "chunks")
-    sums = s.write(chunks.select("conv", "chunk", "turns").mapInArrow(_chunk_sums, arrow_ddl(_SUMS)), "sums")
+    sums = s.write(chunks.select("conv", "chunk", "turns").mapInArrow(_chunk_sums(at), arrow_ddl(_SUMS)), "sums")
     located = s.write(_prefixed(chunks, sums).join(convs, "conv"), "located")
     s.drop("chunks")
     root = convs.select("conv", F.lit(0).cast("long").alias("depth"), *(F.lit(0).cast("long").alias(c) for c in ("n1", "n2")),
@@ -318,10 +332,10 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER) -> Da
                         F.lit(0).cast("long").alias("upto"), F.col("size").alias("total"))
     paths, contained, active, level = [root], [], convs.where("size > 0").select("conv"), 0
     while active.head(1):
-        deep = level >= _LEVELS  # all further chunks at once
+        deep = level >= at.levels  # all further chunks at once
         here = located.where(F.col("chunk") >= level if deep else F.col("chunk") == level)
         step = s.write(here.join(active, "conv").select("conv", "chunk", "turns", "s1", "s2", "size_before", "size")
-                       .mapInArrow(_paths, arrow_ddl(_PATH)), f"step{level}")
+                       .mapInArrow(_paths(at), arrow_ddl(_PATH)), f"step{level}")
         # unread turns and members below each node: more than fit make it a head
         held = F.sum(F.col("total") - F.col("depth") + 1)
         heads = s.write(step.groupBy("n1", "n2").agg(held.alias("held")).where(F.col("held") > most).select("n1", "n2"), f"heads{level}")
@@ -333,7 +347,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER) -> Da
         contained.append(marked.where("head is null").groupBy("conv").agg(
             F.min(F.struct("depth", "n1", "n2", "p1", "p2", "upto")).alias("c")).select("conv", "c.*"))
         # who is not in a container and has turns left bursts on
-        last = _start_of(level + 1)
+        last = at.before(level + 1)
         active = spark.createDataFrame([], "conv long") if deep else s.write(
             marked.where(F.col("head") & (F.col("depth") == last) & (F.col("total") > last)).select("conv"), f"active{level}")
         level += 1
@@ -345,9 +359,9 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER) -> Da
     if contained:
         members = s.write(_salted(_union(contained)).join(_spread(over), ["p1", "p2", "salt"]).drop("salt"), "members")
         parts = members.select("conv", "depth", "n1", "n2", "parent_conv_id", "upto").join(located.select("conv", "chunk", "turns"), "conv") \
-            .where((_end_of(F.col("chunk"))) >= F.col("depth"))
+            .where(at.last(F.col("chunk")) >= F.col("depth"))
         swept = s.write(parts.repartition("n1", "n2").sortWithinPartitions("n1", "n2", "conv", "chunk")
-                        .mapInArrow(_sweep, arrow_ddl(_SWEPT)), "swept")
+                        .mapInArrow(_sweep(at), arrow_ddl(_SWEPT)), "swept")
         tops = members.select("n1", "n2", "p1", "p2").distinct()
     else:
         swept, tops = spark.createDataFrame([], arrow_ddl(_SWEPT)), heads.select("n1", "n2", "p1", "p2").limit(0)
@@ -372,17 +386,12 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, most: int = CONTAINER) -> Da
     return done.select(*OUT).unionByName(swept.where("member is null").select(*OUT))
 
 
-def _end_of(chunk):
-    """Depth of a chunk's last turn."""
-    return F.when(chunk < _LEVELS, F.pow(F.lit(2.0), chunk + 1).cast("long") - 1).otherwise((chunk - _LEVELS + 2) * CHUNK - 1)
-
-
 def _ends(ended: DataFrame) -> DataFrame:
     """(n1, n2, ends_sha256) of the members that end at heads.  Numbers are
     ranged over the cluster and joined into rows of ``ENDS``; a hash must read
     its input in order, so the last step streams each node's few rows."""
     parts = ended.select("n1", "n2", "conv").repartitionByRange("n1", "n2", "conv").sortWithinPartitions("n1", "n2", "conv") \
-        .mapInArrow(_joined, arrow_ddl(_JOINED))
+        .mapInArrow(_joined(ENDS), arrow_ddl(_JOINED))
     return parts.repartition("n1", "n2").sortWithinPartitions("n1", "n2", "at").mapInArrow(_hashed, arrow_ddl(_ENDS))
 
 
