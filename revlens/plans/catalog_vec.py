@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,6 +16,7 @@ from ..operators import vectors as VE
 from ..operators import vocab as V
 from . import common as C
 from . import sqltext as S
+from .catalog_text import CLEAN_MAP_CTE
 from .registry import register
 
 
@@ -220,53 +221,78 @@ def _clean_doc_tokens(spark, d):
     return C.docs(spark, d).select("doc_id", T.clean_doc("text").alias("tokens"))
 
 
-def _w2v(spark, d):
-    return VE.fit_word2vec(
-        V.clean_tokens(C.docs(spark, d)), vector_size=200, window=3, min_count=1)
+_OCCURRENCES = CLEAN_MAP_CTE + f""", occ AS (SELECT doc_id, pos, toks[pos] AS token FROM (
+   SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS pos FROM (SELECT doc_id, {S.tokenize(S.normalize("coalesce(text, '')"))} AS toks FROM documents))),
+words AS (SELECT o.doc_id, m.term AS word, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.pos) AS pos
+   FROM occ o JOIN clean_map m ON m.token = o.token WHERE m.term IS NOT NULL),
+pairs AS (SELECT a.word, b.word AS context, count(*) AS n FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos <> b.pos
+   AND abs(a.pos - b.pos) <= 3 GROUP BY a.word, b.word)"""
+
+
+@register("cooccurrence", _OCCURRENCES + " SELECT word, context, n FROM pairs")
+def cooccurrence(spark, d):
+    """Counts of cleaned words at most 3 positions apart, both ways round."""
+    return VE.cooccurrence(V.clean_tokens(C.docs(spark, d)), 3)
+
+
+@register("word_pmi", _OCCURRENCES + """, margins AS (SELECT word, sum(n) AS n FROM pairs GROUP BY word)
+SELECT * FROM (SELECT p.word, p.context, p.n, round(ln(p.n * (SELECT sum(n) FROM margins) / (a.n::DOUBLE * b.n)), 6) AS pmi
+FROM pairs p JOIN margins a ON a.word = p.word JOIN margins b ON b.word = p.context) WHERE pmi > 1e-6""")
+def word_pmi(spark, d):
+    """Positive pointwise mutual information of the co-occurring words."""
+    return VE.shifted_pmi(VE.cooccurrence(C.materialize(V.clean_tokens(C.docs(spark, d))), 3)).select(
+        "word", "context", "n", F.round("pmi", 6).alias("pmi")).where("pmi > 1e-6")
+
+
+def _word_vectors(spark, d):
+    return C.fitted(spark, d, "word_vectors", lambda: VE.word_vectors(
+        C.materialize(V.clean_tokens(C.docs(spark, d))), size=200, window=3, min_count=1))
 
 
 @register("word_vectors")
 def word_vectors(spark, d):
-    """Word2Vec (200 dims, window 3, min count 1) over the cleaned corpus."""
-    return VE.word_vectors(_w2v(spark, d))
+    """Word vectors (200 dims, window 3, min count 1) over the cleaned corpus."""
+    return _word_vectors(spark, d)
 
 
 @register("sort_words")
 def sort_words(spark, d):
-    return VE.word_vectors(_w2v(spark, d)).orderBy("word").select("word", F.col("vector")[0].alias("x0"))
+    return _word_vectors(spark, d).orderBy("word").select("word", F.col("vector")[0].alias("x0"))
 
 
 @register("slice_rows")
 def slice_rows(spark, d):
     """Rows 1..4 of the word-sorted vectors."""
     from ..operators.relational import slice_rows as _slice
-    return _slice(VE.word_vectors(_w2v(spark, d)), [F.col("word")], 1, 5).select("word", F.col("vector")[0].alias("x0"))
+    return _slice(_word_vectors(spark, d), [F.col("word")], 1, 5).select("word", F.col("vector")[0].alias("x0"))
 
 
 @register("chosen_word_vectors")
 def chosen_word_vectors(spark, d):
     """Vectors of 100 sampled tokens, projected to 2-D."""
-    toks = V.clean_tokens(C.docs(spark, d))
-    m = _w2v(spark, d)
-    chosen = VE.sample_tokens(V.distinct_tokens(toks), 100, seed=0).select(F.col("token").alias("word")).distinct()
-    wv = VE.word_vectors(m).join(chosen, "word", "left_semi")
+    wv = _word_vectors(spark, d)
+    chosen = VE.sample_tokens(wv.select("word"), 100, seed=0, token="word").select(F.col("token").alias("word")).distinct()
+    wv = wv.join(chosen, "word", "left_semi")
     return CU.project_2d(wv.withColumn("features", array_to_vector("vector")), "features").select("word", "x", "y")
 
 
 def _doc_vectors(spark, d):
-    c = C.corpus(spark, d)
-    c = SP.split_train_test(c, "doc_id", 0.8, seed=1)
-    toks = V.clean_tokens(c.select("doc_id", "text")).join(c.select("doc_id", "genre", "split"), "doc_id")
-    m = VE.fit_word2vec(
-        toks.where("split = 'train'"), vector_size=100, window=3, min_count=2)
-    return VE.document_vectors(m, toks)
+    """Paragraph vectors (100 dims, min count 2) of all reviews, the words fitted on the train part only."""
+    def build():
+        c = SP.split_train_test(C.corpus(spark, d).select("doc_id", "genre"), "doc_id", 0.8, seed=1)
+        c = C.materialize(c)
+        bow = C.materialize(V.bag_of_words(V.clean_tokens(C.docs(spark, d))))
+        model = VE.fit_paragraph_vectors(bow.join(c.where("split = 'train'"), "doc_id", "left_semi"), size=100, min_count=2)
+        found = VE.infer_paragraph_vectors(model, bow)
+        return c.join(found, "doc_id", "left").select(
+            "doc_id", "genre", "split", F.coalesce("vector", F.array_repeat(F.lit(0.0), 100)).alias("vector"))
+    return C.fitted(spark, d, "document_vectors", build)
 
 
 @register("document_vectors")
 def document_vectors(spark, d):
-    """Mean word vectors per review, the vectors fitted on the train part only."""
-    dv = _doc_vectors(spark, d)
-    return dv.select("doc_id", "split", vector_to_array("features").alias("vector"))
+    """Paragraph vectors per review, inferred with the words of the train part."""
+    return _doc_vectors(spark, d).select("doc_id", "split", "vector")
 
 
 @register("embed_texts")
@@ -285,7 +311,7 @@ def neural_genre_classifier(spark, d):
 
     mdl2, two directions of half the nodes each, has the width of mdl1 and starts from other weights."""
     from ..operators.classify import mlp_classifier
-    dv = _doc_vectors(spark, d).where("genre is not null")
+    dv = _doc_vectors(spark, d).where("genre is not null").withColumn("features", array_to_vector("vector"))
     mapping = SP.label_index(dv.select(F.col("genre").alias("label")), "label")
     dv = SP.encode_labels(dv.withColumnRenamed("genre", "label"), "label", mapping)
     # four fits and their reports read the vectors: written once
@@ -328,49 +354,43 @@ def top_terms_per_topic(spark, d):
     return top.select("topic", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _count_feats(spark, d):
-    return TP.count_features(C.materialize(_clean_doc_tokens(spark, d)))
+def _term_counts(spark, d):
+    return C.materialize(V.bag_of_words(_clean_doc_tokens(spark, d)))
 
 
 @register("lsa_topics")
 def lsa_topics(spark, d):
     """SVD topics (k = 5): 10 terms per topic by absolute weight."""
-    cvm, feats = _count_feats(spark, d)
-    tw, _, _ = TP.lsa(feats, 5)
-    vocab = TP.vocabulary_table(spark, cvm)
-    return TP.top_terms_per_topic(tw.join(vocab, "term_index"), 10, by_abs=True).select("topic", "rank", "term", "weight")
+    tw, _, _ = TP.lsa(_term_counts(spark, d), 5)
+    return TP.top_terms_per_topic(tw, 10, by_abs=True).select("topic", "rank", "term", "weight")
 
 
 @register("lsa_positions")
 def lsa_positions(spark, d):
-    """Document coordinates U * S in the 5 SVD topics."""
-    _, feats = _count_feats(spark, d)
-    _, pos, _ = TP.lsa(feats, 5)
-    return pos
+    """Document coordinates U * S in the 5 SVD topics; without terms, the origin."""
+    _, pos, values = TP.lsa(_term_counts(spark, d), 5)
+    every = C.docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))).alias("topic"))
+    return every.join(pos, ["doc_id", "topic"], "left").select("doc_id", "topic", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def _lda(spark, d):
-    cvm, feats = _count_feats(spark, d)
-    return cvm, feats, TP.lda(feats, 5, max_iter=20, seed=23)
+    return TP.lda(_term_counts(spark, d), 5, passes=20, seed=23)
 
 
 @register("lda_topics")
 def lda_topics(spark, d):
-    cvm, _, model = _lda(spark, d)
-    return TP.lda_topic_terms(model, TP.vocabulary_table(spark, cvm), 10)
+    return TP.lda_topic_terms(_lda(spark, d), 10)
 
 
 @register("lda_mixtures")
 def lda_mixtures(spark, d):
-    _, feats, model = _lda(spark, d)
-    return TP.topic_mixtures(model, feats).select("doc_id", "mixture")
+    return TP.topic_mixtures(_lda(spark, d), C.docs(spark, d))
 
 
 @register("topic_similarity")
 def topic_similarity(spark, d):
     """Cosine between target reviews in LDA topic space."""
-    _, feats, model = _lda(spark, d)
-    mix = TP.topic_mixtures(model, feats).select("doc_id", "mixture")
+    mix = TP.topic_mixtures(_lda(spark, d), C.docs(spark, d))
     tg = C.corpus(spark, d).join(C.target_ids(spark, d), "descriptor", "left_semi").select("doc_id")
     return SIM.cosine_dense(mix.join(tg, "doc_id", "left_semi"), "doc_id", "mixture")
 

@@ -47,6 +47,24 @@ def target_ids(spark: SparkSession, d: str) -> DataFrame:
 from ..session import materialize  # noqa: E402,F401
 
 
+def fitted(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """The table ``build()`` of a fitted model, written to the shared checkpoint
+    folder once per application and state of the documents; the queries that
+    report on one model read the same table."""
+    import hashlib
+    from ..session import checkpoint_dir, scratch_path
+    checkpoint_dir(spark)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    source = paths(f"{d.rstrip('/')}/documents.parquet")
+    status = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source)
+    state = f"{d}:{status.getModificationTime()}:{status.getLen()}"
+    path = scratch_path(spark, f"fit-{spark.sparkContext.applicationId}-{name}-{hashlib.md5(state.encode()).hexdigest()}")
+    done = paths(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def genres(spark: SparkSession, d: str) -> list[str]:
     """The class axis: the distinct genres, sorted (k names)."""
     from ..operators.split import label_index

@@ -67,17 +67,16 @@ def test_lookup_join_raises_on_a_missing_key(spark):
             use()
 
 
-def test_count_features_keep_every_term_and_lda_shares_add_up(spark):
+def test_topic_models_keep_every_term_and_lda_shares_add_up(spark):
     from revlens.operators import topics as TP
     df = spark.range(40).select(F.col("id").alias("doc_id"), F.transform(
         F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(F.lit("t"), (F.col("id") * 31 + i).cast("string"))).alias("tokens"))
-    model, feats = TP.count_features(df)
-    assert len(model.vocabulary) == 40 * 31
-    lda = TP.lda(feats, 2, max_iter=2)
-    from pyspark.ml.functions import vector_to_array
-    shares = lda.transform(feats).select(vector_to_array("topicDistribution").alias("s")).collect()
-    assert len(shares) == 40 and all(abs(sum(r["s"]) - 1) < 1e-6 for r in shares)
-    tw, pos, sv = TP.lsa(feats, 3)
+    bow = df.select("doc_id", F.explode("tokens").alias("term")).withColumn("n", F.lit(1))
+    lda = TP.lda(bow, 2, passes=2)
+    assert lda.vocab.count() == lda.terms.count() == 40 * 31
+    shares = TP.topic_mixtures(lda, df, min_share=0.0).collect()
+    assert len(shares) == 40 and all(abs(sum(r["mixture"]) - 1) < 1e-6 for r in shares)
+    tw, pos, sv = TP.lsa(bow, 3)
     top = pos.groupBy("topic").agg(F.sum(F.col("value") ** 2).alias("n")).orderBy("topic").collect()
     assert [r["n"] for r in top] == pytest.approx([x * x for x in sv])  # |U S| by topic are the singular values
 
