@@ -1,12 +1,12 @@
 """Sparse matrices as blocks of entries, multiplied with tables of short vectors.
 
-A matrix too large for one machine meets factors too large for one machine, so
-neither is collected or broadcast.  The entries are dealt to blocks of bounded
-size once.  In a pass every block *pulls* the vectors of the rows or columns
-that occur in it (an equi-join on the key, then one on the block), works on them
-in numpy, and *pushes* one partial vector per key, which are added up per key.
-A key that occurs in every block costs one vector a block, however many entries
-it has.
+The entries are dealt to blocks of bounded size once.  In a pass every block
+*pulls* the vectors of the rows or columns that occur in it, works on them in
+numpy, and *pushes* one partial vector per key, which are added up per key.  A
+key that occurs in every block costs one vector a block, however many entries it
+has.  A factor of at most ``BROADCAST`` bytes (its size is known beforehand) is
+pulled from a broadcast; a larger one by an equi-join on the key and a cogroup
+by block, so that no task or driver ever holds it whole.
 
 On this rest the singular value decomposition below, the topic model
 (``topics``) and the document vectors (``vectors``).
@@ -20,6 +20,7 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,12 @@ BLOCK_ENTRIES, PIECE = 1 << 20, 1 << 16
 #: Doubles of a temporary array, triangular factors joined by one task, and
 #: blocks from which partial sums are added up in two steps.
 CELLS, FAN, TWO_STEPS = 1 << 22, 32, 512
+#: Bytes of a factor that is broadcast.
+BROADCAST = 1 << 27
 
-VECTORS = "key long, vec array<double>"
-_VECTORS = pa.schema([("key", pa.int64()), ("vec", pa.list_(pa.float64()))])
+#: Vectors travel as the bytes of their doubles: one copy between Spark and numpy.
+VECTORS = "key long, vec binary"
+VECTORS_ARROW = pa.schema([("key", pa.int64()), ("vec", pa.binary())])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,20 +56,57 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 # --- vectors in Arrow -------------------------------------------------------------
 
 def matrix(column) -> np.ndarray:
-    """A list column of equally long vectors as a matrix."""
+    """A column of equally long vectors as a matrix."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+        return np.vstack([matrix(c) for c in column.chunks]) if column.num_chunks else np.zeros((0, 0))
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+    if not n:
+        return np.zeros((0, 0))
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.float64).reshape(n, -1)
 
 
-def vectors(rows: np.ndarray) -> pa.ListArray:
+def vectors(rows: np.ndarray) -> pa.BinaryArray:
     n, width = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+    data = np.ascontiguousarray(rows, np.float64)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(8 * width)), pa.py_buffer(data)])
 
 
 def batch(keys, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), vectors(rows)], schema=_VECTORS)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), vectors(rows)], schema=VECTORS_ARROW)
+
+
+def batches(keys, rows: np.ndarray, schema: pa.Schema = VECTORS_ARROW, **columns):
+    """Record batches of at most ``CELLS`` numbers; ``columns`` are constants that stand before the key."""
+    step = max(1, CELLS // max(1, rows.shape[1]))
+    for a in range(0, len(rows), step):
+        part = rows[a:a + step]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), v), schema.field(c).type) for c, v in columns.items()]
+                                         + [pa.array(keys[a:a + step], pa.int64()), vectors(part)], schema=schema)
+
+
+def as_arrays(table: DataFrame) -> DataFrame:
+    """(key, vec) with vec as an array of doubles, for Spark's own functions."""
+    def run(it):
+        for b in it:
+            x = matrix(b.column(1))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * (x.shape[1] if len(x) else 0), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], ["key", "vec"])
+    return table.select("key", "vec").mapInArrow(run, "key long, vec array<double>")
+
+
+def total(df: DataFrame) -> np.ndarray | None:
+    """The sum of all vectors of a table: one partial sum a partition reaches the driver."""
+    def run(it):
+        out = None
+        for b in it:
+            if b.num_rows:
+                x = matrix(b.column(0)).sum(0)
+                out = x if out is None else out + x
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([vectors(out[None])], ["vec"])
+    got = matrix(df.select("vec").mapInArrow(run, "vec binary").toArrow().column("vec"))
+    return got.sum(0) if len(got) else None
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,10 +185,10 @@ def triangular(table: DataFrame) -> np.ndarray:
 
     parts = table.select("vec")
     n = parts.rdd.getNumPartitions()
-    factors = parts.mapInArrow(run, "vec array<double>")
+    factors = parts.mapInArrow(run, "vec binary")
     while n > FAN:
         n = -(-n // FAN)
-        factors = written(factors, "triangular").repartition(n).mapInArrow(run, "vec array<double>")
+        factors = written(factors, "triangular").repartition(n).mapInArrow(run, "vec binary")
     rows = matrix(factors.toArrow().column("vec"))  # at most FAN factors
     return np.linalg.qr(rows, mode="r") if len(rows) else np.zeros((0, 0))
 
@@ -229,6 +270,7 @@ class Blocks:
                     F.col("e.col").alias("cols"), F.col("e.x").alias("xs"))
         self.packed = written(packed, "blocks")
         self._needs: dict[str, DataFrame] = {}
+        self._keys: dict[str, int] = {"row": self.n_rows} if self.whole else {}
 
     def needs(self, side: str) -> DataFrame:
         """(block, key): the rows or columns that occur in each block."""
@@ -237,40 +279,74 @@ class Blocks:
             self._needs[side] = written(self.packed.select("block", keys.alias("key")).distinct(), f"needs_{side}")
         return self._needs[side]
 
-    def run(self, table: DataFrame, work: Callable, schema: str, side: str = "col", rows: DataFrame | None = None) -> DataFrame:
-        """``work(Block, factor, table of rows)`` on every block with the vectors that it
-        needs of ``table`` (key, vec); ``rows`` replaces the stored rows (block, row, cols, xs and more)."""
-        def fn(entries: pa.Table, pulled: pa.Table) -> pa.Table:
-            order = np.argsort(pulled.column("key").to_numpy())  # the order of the block's own numbers
-            return work(Block.of(entries), matrix(pulled.column("vec"))[order], entries)
-        pulled = self.needs(side).join(table, "key")
-        return (self.packed if rows is None else rows).groupBy("block").cogroup(pulled.groupBy("block")).applyInArrow(fn, schema)
-
-    def times(self, table: DataFrame) -> DataFrame:
+    def n_keys(self, side: str) -> int:
+        if side not in self._keys:
+            self._keys[side] = self.needs(side).select("key").distinct().count()
+        return self._keys[side]
+
+    def run(self, table: DataFrame, width: int, work: Callable, schema: pa.Schema, side: str = "col",
+            state: DataFrame | None = None) -> DataFrame:
+        """``work(block number, Block, factor, state)`` -> record batches, on every block.
+
+        ``factor`` has the vectors of ``table`` (key, vec of ``width`` numbers)
+        for the block's columns (or rows, by ``side``), ``state`` what the rows
+        (block, key, vec) of that table hold for the block's rows, None for none.
+        """
+        ddl = ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
+        small = 8 * width * self.n_keys(side) <= BROADCAST
+        held = broadcast_factor(table) if small else None
+
+        def fn(entries: pa.Table, more: pa.Table | None) -> pa.Table:
+            block = Block.of(entries)
+            keys = block.cols if side == "col" else block.rows
+            factor = held.value[1][np.searchsorted(held.value[0], keys)] if small else _rows_of(more, 0)
+            found = None if more is None else _rows_of(more, 1)
+            return pa.Table.from_batches(work(entries.column("block")[0].as_py(), block, factor, found), schema=schema)
+
+        kind = lambda df, n: df.select(F.lit(n).alias("kind"), "block", "key", "vec")
+        more = None if small else kind(self.needs(side).join(table, "key"), 0)
+        if state is not None:
+            more = kind(state, 1) if more is None else more.unionByName(kind(state, 1))
+        if more is None:
+            return self.packed.groupBy("block").applyInArrow(lambda entries: fn(entries, None), ddl)
+        return self.packed.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(fn, ddl)
+
+    def times(self, table: DataFrame, width: int) -> DataFrame:
         """A F for F (key = column, vec): (key = row, vec)."""
-        def work(block, factor, _):
-            return _table(block.rows, block.times(factor))
-        return summed(self.run(table, work, VECTORS), self.n_blocks)
+        work = lambda _, block, factor, __: batches(block.rows, block.times(factor))
+        return summed(self.run(table, width, work, VECTORS_ARROW), self.n_blocks)
 
-    def gram_times(self, table: DataFrame) -> DataFrame:
+    def gram_times(self, table: DataFrame, width: int) -> DataFrame:
         """A' A F: in one pass where every row is whole, else in two."""
-        def fused(block, factor, _):
-            return _table(block.cols, block.transposed_times(block.times(factor)))
-
-        def back(block, factor, _):
-            return _table(block.cols, block.transposed_times(factor))
         if self.whole:
-            return summed(self.run(table, fused, VECTORS), self.n_blocks)
-        return summed(self.run(written(self.times(table), "product"), back, VECTORS, side="row"), self.n_blocks)
+            work = lambda _, block, factor, __: batches(block.cols, block.transposed_times(block.times(factor)))
+            return summed(self.run(table, width, work, VECTORS_ARROW), self.n_blocks)
+        work = lambda _, block, factor, __: batches(block.cols, block.transposed_times(factor))
+        return summed(self.run(written(self.times(table, width), "product"), width, work, VECTORS_ARROW, side="row"), self.n_blocks)
+
+
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+
+
+def _rows_of(more: pa.Table, kind: int) -> np.ndarray | None:
+    """The vectors of one kind in the order of their keys, which is that of a block's own numbers."""
+    more = more.filter(pa.compute.equal(more.column("kind"), kind))
+    if not more.num_rows:
+        return None
+    return matrix(more.column("vec"))[np.argsort(more.column("key").to_numpy())]
 
 
-def _table(keys, rows) -> pa.Table:
-    return pa.Table.from_batches([batch(keys, rows)], schema=_VECTORS)
+def broadcast_factor(table: DataFrame):
+    """(sorted keys, vectors) of a table of checked size."""
+    got = table.select("key", "vec").toArrow()
+    keys = got.column("key").to_numpy()
+    order = np.argsort(keys)
+    return table.sparkSession.sparkContext.broadcast((keys[order], matrix(got.column("vec"))[order]))
 
 
 @dataclass
 class Decomposition:
-    """``rows`` (key, vec = U S), ``cols`` (key, vec = V) and the singular values."""
+    """``rows`` (key, vec = U S), ``cols`` (key, vec = V), with arrays, and the singular values."""
 
     rows: DataFrame
     cols: DataFrame
@@ -288,24 +364,31 @@ def decompose(a: Blocks, starts: DataFrame, k: int, symmetric: bool = False, tol
     the matrix has no more than that rank, the first round is exact.  Signs:
     the sum of the cubes of a component's column weights is positive.
     """
-    basis, before, rounds = orthonormal(starts)[0], None, 0
+    basis, s = orthonormal(starts)
+    before, rounds = None, 0
     while True:
         rounds += 1
-        z = written(a.times(basis) if symmetric else a.gram_times(basis), "subspace")
+        width = max(1, len(s))
+        z = written(a.times(basis, width) if symmetric else a.gram_times(basis, width), "subspace")
         basis, s = orthonormal(z)
         now = (s if symmetric else np.sqrt(s))[:k]
         if rounds >= most or before is not None and len(now) == len(before) and np.all(np.abs(now - before) <= tol * now):
             break
         before = now
     basis = written(basis, "basis")
-    y = written(a.times(basis), "projected")
+    y = written(a.times(basis, width), "projected")
     _, s, w = np.linalg.svd(triangular(y), full_matrices=False)
     k = min(k, int((s > (s[:1].sum() or 1.0) * 1e-12).sum()))
     turn = w[:k].T
     cols = written(transformed(basis, turn), "cols")
-    cubes = cols.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v") * F.col("v") * F.col("v")).alias("c")).collect()
-    signs = np.ones(k)
-    for r in cubes:  # k rows
-        signs[r["i"]] = -1.0 if r["c"] < 0 else 1.0
-    flip = np.diag(signs)
-    return Decomposition(transformed(y, turn * signs), transformed(cols, flip), s[:k], rounds)
+    signs = np.where(_cubes(cols, k) < 0, -1.0, 1.0)
+    return Decomposition(as_arrays(transformed(y, turn * signs)), as_arrays(transformed(cols, np.diag(signs))), s[:k], rounds)
+
+
+def _cubes(cols: DataFrame, k: int) -> np.ndarray:
+    def run(it):
+        for b in it:
+            if b.num_rows:
+                yield batch([0], (matrix(b.column("vec")) ** 3).sum(0)[None])
+    found = total(cols.mapInArrow(run, VECTORS))
+    return np.zeros(k) if found is None else found

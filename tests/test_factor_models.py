@@ -23,11 +23,11 @@ def entries(spark, a):
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], BL.VECTORS)
+    return spark.createDataFrame([(i, np.asarray(r, float).tobytes()) for i, r in enumerate(rows)], BL.VECTORS)
 
 
 def dense(df, n):
-    rows = df.collect()
+    rows = (BL.as_arrays(df) if dict(df.dtypes)["vec"] == "binary" else df).collect()
     out = np.zeros((n, len(rows[0]["vec"])))
     assert len({r["key"] for r in rows}) == len(rows)
     for r in rows:
@@ -35,14 +35,15 @@ def dense(df, n):
     return out
 
 
-@pytest.mark.parametrize("piece", [1 << 16, 3])
-def test_products_by_blocks_equal_dense_ones(spark, piece):
+@pytest.mark.parametrize("piece, held", [(1 << 16, 1 << 27), (3, 1 << 27), (1 << 16, 0), (3, 0)])
+def test_products_by_blocks_equal_dense_ones(spark, monkeypatch, piece, held):
+    monkeypatch.setattr(BL, "BROADCAST", held)
     rng = np.random.default_rng(1)
     a, f = sparse(rng, 40, 25), rng.normal(size=(25, 4))
     blocks = BL.Blocks(entries(spark, a), per_block=60, piece=piece)
     assert blocks.n_blocks > 2 and blocks.whole == (piece > 25)
-    assert np.allclose(dense(blocks.times(table(spark, f)), 40), a @ f)
-    assert np.allclose(dense(blocks.gram_times(table(spark, f)), 25), a.T @ a @ f)
+    assert np.allclose(dense(blocks.times(table(spark, f), 4), 40), a @ f)
+    assert np.allclose(dense(blocks.gram_times(table(spark, f), 4), 25), a.T @ a @ f)
 
 
 def test_orthonormal_basis_of_a_tall_table(spark, monkeypatch):
@@ -58,10 +59,10 @@ def test_orthonormal_basis_of_a_tall_table(spark, monkeypatch):
 def test_sums_of_parts_over_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        parts = spark.range(300).select((F.col("id") % 4).alias("key"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+        parts = table(spark, [(i, 1.0) for i in range(300)]).withColumn("key", F.col("key") % 4)
         want = {k: [float(sum(range(k, 300, 4))), 75.0] for k in range(4)}
         for blocks in (1, BL.TWO_STEPS + 1):
-            assert {r["key"]: r["vec"] for r in BL.summed(parts, blocks).collect()} == want
+            assert {r["key"]: r["vec"] for r in BL.as_arrays(BL.summed(parts, blocks)).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -185,8 +186,8 @@ def test_lda_bound_equals_a_plain_evaluation(spark):
     # what the pass started from
     start = TP.lda(bow, k, passes=0)
     # numbers differ between the two vocabularies, terms do not
-    lam = {r["term"]: np.array(r["vec"]) for r in start.terms.join(start.vocab, F.col("key") == F.col("id")).collect()}
-    gamma = {r["key"]: np.array(r["vec"]) for r in model.documents.collect()}
+    lam = {r["term"]: np.array(r["vec"]) for r in BL.as_arrays(start.terms).join(start.vocab, F.col("key") == F.col("id")).collect()}
+    gamma = {r["key"]: np.array(r["vec"]) for r in BL.as_arrays(model.documents).collect()}
     totals = sum(v[:k] for v in lam.values())
     beta = {t: TP.digamma(v[:k]) - TP.digamma(totals) for t, v in lam.items()}
     theta = {d: TP.digamma(g) - TP.digamma(g.sum()) for d, g in gamma.items()}
