@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Callable
 
 import numpy as np
@@ -30,7 +31,7 @@ from ..session import scratch_path, ship_package
 BLOCK_ENTRIES, PIECE = 1 << 20, 1 << 16
 #: Doubles of a temporary array, triangular factors joined by one task, and
 #: blocks from which partial sums are added up in two steps.
-CELLS, FAN, TWO_STEPS = 1 << 22, 32, 512
+CELLS, FAN, TWO_STEPS = 1 << 18, 32, 512
 #: Bytes of a factor that is broadcast.
 BROADCAST = 1 << 27
 
@@ -77,8 +78,8 @@ def batch(keys, rows: np.ndarray) -> pa.RecordBatch:
 
 
 def batches(keys, rows: np.ndarray, schema: pa.Schema = VECTORS_ARROW, **columns):
-    """Record batches of at most ``CELLS`` numbers; ``columns`` are constants that stand before the key."""
-    step = max(1, CELLS // max(1, rows.shape[1]))
+    """Record batches of a few million numbers; ``columns`` are constants that stand before the key."""
+    step = max(1, (1 << 22) // max(1, rows.shape[1]))
     for a in range(0, len(rows), step):
         part = rows[a:a + step]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), v), schema.field(c).type) for c, v in columns.items()]
@@ -203,8 +204,8 @@ def orthonormal(table: DataFrame) -> tuple[DataFrame, np.ndarray]:
 # --- blocks -------------------------------------------------------------------------
 
 def multiplied(group: np.ndarray, n: int, x: np.ndarray, at: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    """out[g] = sum of x * factor[at] over the entries of group g (sorted), in slices."""
-    out = np.zeros((n, factor.shape[1]))
+    """out[g] = sum of x * factor[at] over the entries of group g (sorted), in slices that fit the cache."""
+    out = np.zeros((n, factor.shape[1]), factor.dtype)
     step = max(1, CELLS // max(1, factor.shape[1]))
     for a in range(0, len(x), step):
         g = group[a:a + step]
@@ -234,43 +235,53 @@ class Block:
         x = table.column("xs").combine_chunks().flatten().to_numpy()
         return Block(rows, used, row[order], col[order], x[order])
 
+    @cached_property
+    def by_col(self) -> np.ndarray:
+        """The order of the entries by column."""
+        return np.argsort(self.col, kind="stable")
+
     def times(self, factor: np.ndarray) -> np.ndarray:
         """A F for a factor with a row for each of the block's columns."""
         return multiplied(self.row, len(self.rows), self.x, self.col, factor)
 
     def transposed_times(self, factor: np.ndarray) -> np.ndarray:
         """A' F for a factor with a row for each of the block's rows."""
-        order = np.argsort(self.col, kind="stable")
-        return multiplied(self.col[order], len(self.cols), self.x[order], self.row[order], factor)
+        return self.weighted_by_col(self.x, factor)
+
+    def weighted_by_col(self, x: np.ndarray, factor: np.ndarray, n: int | None = None) -> np.ndarray:
+        """Sums by column of ``x`` (a number per entry) times the entry's row of ``factor``."""
+        order = self.by_col
+        return multiplied(self.col[order], len(self.cols) if n is None else n, x[order], self.row[order], factor)
 
 
 class Blocks:
     """A sparse matrix (row, col, x) with long keys, written as blocks.
 
-    A row with more than ``piece`` entries is split, so ``whole`` rows lie in one
-    block each only where none is; a block then holds all entries of its rows.
+    ``whole`` rows lie in one block each (documents, say, whose size is bounded);
+    other rows are split where they have more than ``piece`` entries.  ``n_cols``
+    is a bound on the number of columns, where the caller knows one.
     """
 
-    def __init__(self, entries: DataFrame, per_block: int = BLOCK_ENTRIES, piece: int = PIECE):
-        entries = written(entries.select("row", "col", F.col("x").cast("double").alias("x")), "entries")
-        sizes = entries.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-        total = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("rows")).first()
-        self.entries, self.n_entries, self.n_rows = entries, total["n"] or 0, total["rows"]
-        self.whole = (total["most"] or 0) <= piece
-        cores = entries.sparkSession.sparkContext.defaultParallelism
-        self.n_blocks = max(1, -(-self.n_entries // per_block), min(cores, self.n_entries // 4096))
-        if self.whole:
+    def __init__(self, entries: DataFrame, whole: bool = True, per_block: int = BLOCK_ENTRIES, piece: int = PIECE, n_cols: int | None = None):
+        entries = entries.select("row", "col", F.col("x").cast("double").alias("x"))
+        if whole:
             pieces = entries.withColumn("piece", F.lit(0))
         else:
-            long_rows = written(sizes.where(F.col("n") > piece), "long_rows")
+            entries = written(entries, "entries")
+            long_rows = written(entries.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece), "long_rows")
             pieces = entries.join(long_rows, "row", "left").withColumn(
                 "piece", F.coalesce(F.pmod(F.xxhash64("col"), F.ceil(F.col("n") / piece)), F.lit(0)).cast("int"))
-        packed = pieces.groupBy("row", "piece").agg(F.sort_array(F.collect_list(F.struct("col", "x"))).alias("e")) \
-            .select(F.pmod(F.xxhash64("row", "piece"), F.lit(self.n_blocks)).cast("int").alias("block"), "row",
-                    F.col("e.col").alias("cols"), F.col("e.x").alias("xs"))
-        self.packed = written(packed, "blocks")
+        packed = written(pieces.groupBy("row", "piece").agg(F.sort_array(F.collect_list(F.struct("col", "x"))).alias("e"))
+                         .select("row", "piece", F.col("e.col").alias("cols"), F.col("e.x").alias("xs")), "blocks")
+        size = packed.agg(F.sum(F.size("cols")).alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("piece"))
+        self.n_entries, pieces, last = (x or 0 for x in size.first())
+        self.whole = last == 0
+        self.n_rows = pieces if self.whole else packed.select("row").distinct().count()
+        cores = packed.sparkSession.sparkContext.defaultParallelism
+        self.n_blocks = max(1, -(-self.n_entries // per_block), min(cores, self.n_entries // 4096))
+        self.packed = packed.withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(self.n_blocks)).cast("int"))
         self._needs: dict[str, DataFrame] = {}
-        self._keys: dict[str, int] = {"row": self.n_rows} if self.whole else {}
+        self._keys = {"row": self.n_rows} | ({} if n_cols is None else {"col": n_cols})
 
     def needs(self, side: str) -> DataFrame:
         """(block, key): the rows or columns that occur in each block."""

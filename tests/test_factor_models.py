@@ -40,7 +40,7 @@ def test_products_by_blocks_equal_dense_ones(spark, monkeypatch, piece, held):
     monkeypatch.setattr(BL, "BROADCAST", held)
     rng = np.random.default_rng(1)
     a, f = sparse(rng, 40, 25), rng.normal(size=(25, 4))
-    blocks = BL.Blocks(entries(spark, a), per_block=60, piece=piece)
+    blocks = BL.Blocks(entries(spark, a), whole=piece > 25, per_block=60, piece=piece)
     assert blocks.n_blocks > 2 and blocks.whole == (piece > 25)
     assert np.allclose(dense(blocks.times(table(spark, f), 4), 40), a @ f)
     assert np.allclose(dense(blocks.gram_times(table(spark, f), 4), 25), a.T @ a @ f)
