@@ -7,6 +7,7 @@ values; iterative expansion checkpoints its frontier to cut lineage.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,26 +201,71 @@ def neighborhood(df: DataFrame, sources: DataFrame, depth: int, edge_types=None)
     return found.distinct()
 
 
+#: Bytes of patterns in one automaton, and of nodes that are read beside one shard of many.
+PATTERN_BYTES, NODE_BYTES = 1 << 22, 1 << 26
+
+
+def nodes_with_patterns(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The distinct ``node`` strings that contain one of the ``patterns`` (column
+    ``sub``, distinct and not empty).
+
+    An Aho-Corasick automaton reads every node once, however many patterns
+    there are.  Patterns of up to ``PATTERN_BYTES`` make one automaton; more are
+    dealt to shards of about that size, each read by parts of the nodes.
+    """
+    from ..session import ship_package
+    from .blocks import written
+    ship_package(nodes.sparkSession)
+    size = patterns.agg(F.sum(F.octet_length("sub") + 8)).first()[0] or 0
+    shards = -(-size // PATTERN_BYTES)
+    if shards <= 1:
+        words = patterns.toArrow().column("sub").to_pylist()  # at most PATTERN_BYTES
+
+        def run(it):
+            find = _finder(words)
+            for b in it:
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(find(b.column(0)))], ["node"])
+        return nodes.select("node").mapInArrow(run, "node string")
+
+    def beside(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"node": pa.array([], pa.string())})
+        found = left.column("node").combine_chunks()
+        return pa.table({"node": found.filter(_finder(right.column("sub").to_pylist())(found)).cast(pa.string())})
+
+    nodes = written(nodes.select("node"), "nodes")
+    parts = max(1, -(-(nodes.agg(F.sum(F.octet_length("node"))).first()[0] or 0) // NODE_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    dealt = nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(int(parts))).cast("int")).withColumn("shard", every(shards))
+    there = patterns.withColumn("shard", F.pmod(F.xxhash64("sub"), F.lit(int(shards))).cast("int")).withColumn("part", every(parts))
+    return dealt.groupBy("shard", "part").cogroup(there.groupBy("shard", "part")).applyInArrow(beside, "node string").distinct()
+
+
+def _finder(patterns: list[str]):
+    """A function from strings to whether they contain a pattern."""
+    import ahocorasick
+    automaton = ahocorasick.Automaton()
+    for p in patterns:
+        automaton.add_word(p, True)
+    if patterns:
+        automaton.make_automaton()
+    return lambda texts: pa.array([bool(patterns) and next(automaton.iter(t), None) is not None for t in texts.to_pylist()], pa.bool_())
+
+
 def filter_graph_by_patterns(df: DataFrame, patterns: DataFrame, regex: tuple[str, ...] = ()) -> DataFrame:
     """Edges whose source or target contains any of the patterns (literal
     substrings, exact) or matches any regular expression of ``regex``.
 
-    Work is done on *distinct* node values: each node string is expanded into
-    its substrings of the lengths that occur among the patterns, equi-joined
-    with the distinct patterns (a shuffle join, no nested loop) and the matching
-    nodes are semi-joined back to the edges.
+    Work is done on *distinct* node values: each is read once against all
+    patterns and the matching nodes are semi-joined back to the edges.
     """
     from ..session import materialize
-    # the distinct patterns are read twice (lengths, join) and the edges four times: written once
+    # the distinct patterns are read twice (size, search) and the edges four times: written once
     p = materialize(patterns.select(F.col(patterns.columns[0]).alias("sub")).where(
         F.col("sub").isNotNull() & (F.col("sub") != "")).distinct())
     df = materialize(df)
-    lengths = p.agg(F.sort_array(F.collect_set(F.length("sub")))).scalar()
-    nodes = frontier_union(df).withColumn("size", F.length("node"))
-    at = nodes.withColumn("n", F.explode(lengths)).where("n <= size")
-    subs = at.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1),
-                                                   lambda i: F.substring(F.col("node"), i, F.col("n")))).alias("sub"))
-    hit = subs.distinct().join(p, "sub", "left_semi").select("node")
+    nodes = frontier_union(df)
+    hit = nodes_with_patterns(nodes, p)
     for r in regex:
         hit = hit.union(nodes.where(F.col("node").rlike(r)).select("node"))
     hit = materialize(hit.distinct())

@@ -107,3 +107,23 @@ def test_map_edges_and_counts(spark):
     assert sorted((r["edge"] or "") for r in m.collect()) == ["", "z", "z"]
     rc = G.remap_counts(e, m, "z").collect()[0]
     assert (rc["before"], rc["after"]) == (0, 2)
+
+
+def test_patterns_are_found_in_one_reading_of_long_nodes(spark, monkeypatch):
+    """Rows stay as many as the nodes, also with many patterns in several shards."""
+    import random
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choices("ab", k=n))
+    nodes = [word(rng.randint(0, 9)) for _ in range(60)] + ["x" * 10_000 + "abba", "y" * 10_000, "\u00e9\U0001f600z"]
+    patterns = sorted({word(rng.randint(4, 7)) for _ in range(25)} | {"\U0001f600"})
+    df = spark.createDataFrame([(n,) for n in set(nodes)], "node string")
+    p = spark.createDataFrame([(x,) for x in patterns], "sub string")
+    want = sorted(n for n in set(nodes) if any(x in n for x in patterns))
+    found = G.nodes_with_patterns(df, p)
+    assert sorted(r["node"] for r in found.collect()) == want and 0 < len(want) < len(set(nodes))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    monkeypatch.setattr(G, "PATTERN_BYTES", 60)
+    monkeypatch.setattr(G, "NODE_BYTES", 5_000)
+    assert sorted(r["node"] for r in G.nodes_with_patterns(df, p).collect()) == want
+    assert G.nodes_with_patterns(df, p.limit(0)).collect() == []

@@ -170,3 +170,23 @@ def test_sample_tokens_reproducible(spark):
     a = sorted(tuple(r) for r in VE.sample_tokens(vocab, 20, seed=3).collect())
     b = sorted(tuple(r) for r in VE.sample_tokens(vocab.repartition(3), 20, seed=3).collect())
     assert a == b and len(a) == 20
+
+
+def test_kmeans_rows_are_at_their_nearest_centroid(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from revlens.operators import cluster as CU
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3)) + 4 * np.eye(3)[np.arange(120) % 3]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    preds, metrics, models = CU.kmeans_runs(df.withColumn("features", array_to_vector("embedding")), "features", [2, 3, 4])
+    cost = {r["run"]: r["cost"] for r in metrics.collect()}
+    for run, model in models.items():
+        d = ((x[:, None, :] - np.array(model.clusterCenters())[None]) ** 2).sum(2)
+        got = {r["vec_id"]: r["cluster"] for r in preds.where(F.col("run") == run).collect()}
+        assert len(got) == 120 and all(d[i, c] <= d[i].min() + 1e-9 for i, c in got.items())
+        assert cost[run] == pytest.approx(d.min(1).sum())
+        # a centroid is the mean of its rows once the fit has settled
+        for c, center in enumerate(model.clusterCenters()):
+            assert np.allclose(center, x[[i for i in got if got[i] == c]].mean(0), atol=0.2)
+    assert cost["k4"] < cost["k3"] < cost["k2"]
