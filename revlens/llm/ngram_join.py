@@ -41,8 +41,9 @@ TASK_TOKENS, FREQUENT_TOKENS = 1 << 16, 1 << 18
 FREQUENT = 16
 #: Frequent tokens in a part, on average.
 PART = 4
-#: Sets from which a signature's group is compared in place, and sets of one block of it.
-LARGE_GROUP, GROUP_BLOCK = 16, 2048
+#: Sets from which a signature's group is compared in place, sets of one block of it, and tokens of a
+#: block whose sets are there themselves (8 MB).
+LARGE_GROUP, GROUP_BLOCK, GROUP_TOKENS = 16, 2048, 1 << 20
 #: Partners that a set of a large group proposes in each round before all remaining pairs are tested.
 PROMISING = (1, 4)
 
@@ -196,14 +197,12 @@ def _possible(num: int, den: int):
     return run
 
 
-def _possible_in_groups(num: int, den: int, best: int | None):
-    """Pairs of different components in a signature's group that sizes and
-    digests allow; with ``best``, for each set only its most promising partners
-    of no smaller size."""
+def _in_groups(work, *more):
+    """The pairs that ``work`` finds in each group of sorted rows."""
     def run(it):
         out, held = [], 0
         for group in runs(it, ["sig", "one", "two"]):
-            out.append(_group_pairs(group, num, den, best))
+            out.append(work(group, *more))
             held += len(out[-1])
             if held > 1 << 20:
                 yield _pair_batch(out)
@@ -217,44 +216,92 @@ def _pair_batch(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
 
-def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.ndarray:
-    n = group.column("n").to_numpy()
-    order = np.argsort(n, kind="stable")
-    n = n[order]
-    node, root, block = (group.column(c).to_numpy()[order] for c in ("node", "root", "block"))
-    digests = group.column("digest").take(pa.array(order)).to_pylist()
-    one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-    upto = np.searchsorted(n, n * den // num, "right")  # partners of a size that is not less
-    lengths = np.array([0 if d is None else 2 * len(d) for d in digests])
-    found = []
-    matrix, row_of, wide = None, None, -1
-    for i in range(len(n)):
-        j = np.arange(i + 1, upto[i])
-        j = j[root[j] != root[i]]
-        if one != two:
-            j = j[block[j] != block[i]]
-        if not len(j):
-            continue
+class _Group:
+    """A signature's group, or two blocks of it, by ascending set size."""
+
+    def __init__(self, group: pa.Table, num: int, den: int):
+        self.num, self.den = num, den
+        n = group.column("n").to_numpy()
+        self.order = np.argsort(n, kind="stable")
+        self.n = n[self.order]
+        self.node, self.root, self.block = (group.column(c).to_numpy()[self.order] for c in ("node", "root", "block"))
+        self.digests = group.column("digest").take(pa.array(self.order)).to_pylist()
+        self.across = group.column("one")[0].as_py() != group.column("two")[0].as_py()
+        self.upto = np.searchsorted(self.n, self.n * den // num, "right")  # partners of a size that is not less
+        self.lengths = np.array([0 if d is None else 2 * len(d) for d in self.digests])
+        self.matrix, self.row_of, self.wide = None, None, -1
+
+    def possible(self, i: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partners of no smaller size and another label that the digests allow, and how similar they may be."""
+        n, lengths = self.n, self.lengths
+        j = np.arange(i + 1, self.upto[i])
+        j = j[label[j] != label[i]]
+        if self.across:
+            j = j[self.block[j] != self.block[i]]
         bound = np.full(len(j), n[i])  # all of the smaller set
         sure = (lengths[j] == 0) | (lengths[i] == 0)
         at = np.flatnonzero(~sure)
         if len(at):
-            if lengths[i] != wide:  # sizes ascend, so each number of buckets comes once
-                wide = lengths[i]
+            if lengths[i] != self.wide:  # sizes ascend, so each number of buckets comes once
+                self.wide = wide = lengths[i]
                 rows = np.flatnonzero((lengths == wide) | (lengths == 2 * wide))
-                matrix = np.stack([c if len(c) == wide else c.reshape(2, -1).sum(0, dtype=np.uint8)
-                                   for c in (counts_of(digests[r]) for r in rows)])
-                row_of = np.full(len(n), -1)
-                row_of[rows] = np.arange(len(rows))
-            step = max(1, (1 << 22) // wide)  # at most 4 MB of counts at a time
+                self.matrix = np.stack([c if len(c) == wide else c.reshape(2, -1).sum(0, dtype=np.uint8)
+                                        for c in (counts_of(self.digests[r]) for r in rows)])
+                self.row_of = np.full(len(n), -1)
+                self.row_of[rows] = np.arange(len(rows))
+            step = max(1, (1 << 22) // self.wide)  # at most 4 MB of counts at a time
             for lo in range(0, len(at), step):
                 part = at[lo:lo + step]
-                bound[part] = np.minimum(matrix[row_of[j[part]]], matrix[row_of[i]]).sum(1, dtype=np.int64)
-        likely = bound / (n[i] + n[j] - bound)
-        keep = np.flatnonzero(sure | (den * bound >= num * (n[i] + n[j] - bound)))
-        j = j[keep if best is None else keep[np.argsort(-likely[keep], kind="stable")[:best]]]
-        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                bound[part] = np.minimum(self.matrix[self.row_of[j[part]]], self.matrix[self.row_of[i]]).sum(1, dtype=np.int64)
+        keep = np.flatnonzero(sure | (self.den * bound >= self.num * (n[i] + n[j] - bound)))
+        return j[keep], (bound / np.maximum(n[i] + n[j] - bound, 1))[keep]
+
+    def pairs(self, i, j) -> np.ndarray:
+        return np.stack([np.minimum(self.node[i], self.node[j]), np.maximum(self.node[i], self.node[j])], -1).reshape(-1, 2)
+
+
+def _group_pairs(group: pa.Table, num: int, den: int, best: int) -> np.ndarray:
+    """The ``best`` most promising partners of every set."""
+    g = _Group(group, num, den)
+    found = [np.zeros((0, 2), np.int64)]
+    for i in range(len(g.n)):
+        j, likely = g.possible(i, g.root)
+        found.append(g.pairs(i, j[np.argsort(-likely, kind="stable")[:best]]))
+    return np.concatenate(found)
+
+
+def _group_forest(group: pa.Table, num: int, den: int) -> np.ndarray:
+    """Links that join all components which some link of the group joins: every
+    possible pair of different components is judged on the sets themselves."""
+    g = _Group(group, num, den)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("set").take(pa.array(g.order)).to_pylist()]
+    label, found = g.root.copy(), [np.zeros((0, 2), np.int64)]
+    for i in range(len(g.n)):
+        j, _ = g.possible(i, label)
+        lo = 0
+        while lo < len(j):
+            hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(g.n[j[lo:]]), GROUP_TOKENS, "right")))
+            part, lo = j[lo:hi], hi
+            part = part[label[part] != label[i]]
+            if not len(part):
+                continue
+            tokens = np.concatenate([sets[x] for x in part])
+            at = np.minimum(np.searchsorted(sets[i], tokens), len(sets[i]) - 1)
+            shared = np.add.reduceat((sets[i][at] == tokens).astype(np.int64), np.cumsum(g.n[part]) - g.n[part])
+            for x in part[den * shared >= num * (g.n[i] + g.n[part] - shared)]:
+                if label[x] != label[i]:
+                    label[label == label[x]] = label[i]
+                    found.append(g.pairs(i, x))
+    return np.concatenate(found)
+
+
+def _sets(k: int):
+    def run(it):
+        for b in text_slices(it):
+            values, offsets = W.shingle_sets(W.split(b.column("text"), lower=True), k)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(
+                [values[offsets[i]:offsets[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["node", "set"])
+    return run
 
 
 def _verified(k: int, num: int, den: int):
@@ -320,15 +367,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     label, tested, linked = components(links), near, links.select("a", "b")
     # first each set's most promising partners, which joins most of a large group; then whatever is left, all of it
     for step, best in enumerate((*PROMISING, None)):
-        far = _between(s, f"open{step}", found, label, classes, num, den, best).join(tested, ["a", "b"], "left_anti")
-        far = s.write(far, f"far{step}")
-        more = s.write(_links(s, f"texts{step}", far, classes, keyed, k, num, den), f"more{step}")
+        few, large = _between(s, f"open{step}", found, label, classes)
+        if best is not None:
+            far = _dealt(large, GROUP_BLOCK, F.col("size")).mapInArrow(_in_groups(_group_pairs, num, den, best), "a long, b long").distinct()
+        else:
+            far = _candidates(few.where(F.least("n", "n2") * den >= F.greatest("n", "n2") * num).select("a", "b"), classes, num, den)
+        far = s.write(far.join(tested, ["a", "b"], "left_anti"), f"far{step}")
+        more = s.write(_links(s, f"texts{step}", far, classes, keyed, k, num, den).select("a", "b"), f"more{step}")
         tested = tested.union(far)
+        if best is None:
+            more = more.union(s.write(_forest(s, large, classes, keyed, k, num, den), "forest"))
         if more.head(1):
-            linked = linked.union(more.select("a", "b"))
+            linked = linked.union(more)
             label = components(linked)
     node_root = s.write(label, "roots")
-    for name in ("shared", "near", "links", "near-texts", *(f"{n}{i}" for n in ("open", "far", "texts", "more") for i in range(len(PROMISING) + 1))):
+    for name in ("shared", "near", "links", "near-texts", "forest", "forest-texts", "forest-sets", *(f"{n}{i}" for n in ("open", "far", "texts", "more") for i in range(len(PROMISING) + 1))):
         s.drop(name)
     rooted = features.join(node_root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if keys:
@@ -356,39 +409,50 @@ def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     return p.mapInArrow(_possible(num, den), "a long, b long")
 
 
-def _between(s: Scratch, name: str, found: DataFrame, label: DataFrame, classes: DataFrame, num: int, den: int,
-             best: int | None) -> DataFrame:
-    """Pairs of a signature's sets that are in different components so far and
-    that sizes and digests allow (``best``: of large groups only, and only each
-    set's most promising ones).  In a large group the digests are compared in
-    place (block by block where it is very large), so that only possible pairs
-    become rows; the pairs of small groups are joined, then checked."""
+def _between(s: Scratch, name: str, found: DataFrame, label: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the signatures whose sets are in several components so far: the pairs
+    of small groups' sets in different ones (a, b, n, n2), and the large groups'
+    rows, which are compared in place, so that their pairs never become rows."""
     at = found.join(label, "node", "left").select("sig", "node", "size", F.coalesce("root", "node").alias("root"))
-    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    at = s.write(at.join(open_, "sig").join(classes.select("node", "n"), "node"), name)
+    at = at.join(classes.select("node", "n"), "node")
+    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.sum("n").alias("tokens")).where("x <> y").select("sig", "tokens")
+    at = s.write(at.join(open_, "sig"), name)
     small = at.where(F.col("size") < LARGE_GROUP).select("sig", "node", "root", "n")
     other = small.select("sig", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n")))
-    few = small.join(other, "sig").where("node < node2 and root <> root2").where(
-        F.least("n", "n2") * den >= F.greatest("n", "n2") * num).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-    large = (at.where(F.col("size") >= LARGE_GROUP).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to"))
-    large = large.join(classes.select("node", "digest"), "node").select("sig", "one", "two", "block", "node", "root", "n", "digest")
-    many = (large.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two")
-            .mapInArrow(_possible_in_groups(num, den, best), "a long, b long"))
-    if best is not None:
-        return many.distinct()
-    return _candidates(few, classes, num, den).union(many).distinct()
+    few = small.join(other, "sig").where("node < node2 and root <> root2").select(
+        F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2")
+    large = at.where(F.col("size") >= LARGE_GROUP).join(classes.select("node", "digest"), "node")
+    return few, large
+
+
+def _dealt(large: DataFrame, per_block: int, amount) -> DataFrame:
+    """Rows of large groups, sorted by group; a group of more than ``per_block`` is dealt to pairs of blocks."""
+    blocks = F.ceil(amount / per_block).cast("int")
+    both = (large.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+            .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to"))
+    return both.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two")
+
+
+def _forest(s: Scratch, large: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of the large groups, no more than join their components."""
+    texts = _texts(s, "forest-texts", large.select("node").distinct(), classes, keyed)
+    sets = s.write(texts.mapInArrow(_sets(k), "node long, set binary"), "forest-sets")
+    return _dealt(large.join(sets, "node"), GROUP_TOKENS, F.col("tokens")).mapInArrow(_in_groups(_group_forest, num, den), "a long, b long").distinct()
+
+
+def _texts(s: Scratch, name: str, nodes: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes."""
+    need = s.write(classes.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "node"), name)
+    near = in_buckets(keyed, "text_key", need, "key")
+    return (near.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+            .select("node", "text").dropDuplicates(["node"]))
 
 
 def _links(s: Scratch, name: str, pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that reach the threshold, judged on their texts."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = s.write(classes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "node"), name)
-    near = in_buckets(keyed, "text_key", need, "key")
-    text = (near.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-            .select("node", "text").dropDuplicates(["node"]))
+    text = _texts(s, name, ends, classes, keyed)
     far = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = far.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, num, den), arrow_ddl(_LINKS))
