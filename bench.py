@@ -27,7 +27,7 @@ HEADLINE = [
     "entity_graph", "neighborhood", "tfidf_clean", "pattern_join",
 ]
 # iterative fits of minutes: run once
-FITS = ["lsa_topics", "word_vectors", "linear_svm", "neural_genre_classifier"]
+FITS = ["lsa_topics", "word_vectors", "document_vectors", "linear_svm", "neural_genre_classifier"]
 
 
 def main():
