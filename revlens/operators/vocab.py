@@ -11,12 +11,14 @@ so a word that holds a third of all tokens is pre-summed in every task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.porter import porter_stem
-from ..functions.words import ENGLISH_STOP_WORDS, NOUN_DETACHMENTS
+from ..functions.words import ENGLISH_STOP_WORDS, NOUN_DETACHMENTS, WS_CLASS
 
 
 # --- token tables ------------------------------------------------------------
@@ -143,3 +145,58 @@ def clean_bag_of_words(docs: DataFrame, lexicon: DataFrame | None = None,
     m = clean_map(vocab, lexicon, stop_words)
     return (bow.join(m, "token").where(F.col("term").isNotNull())
             .groupBy("doc_id", "term").agg(F.sum("n").alias("n")))
+
+
+# --- sentences with learned abbreviations -------------------------------------------
+
+#: Score from which a word before a period is an abbreviation, and the share of
+#: its occurrences that an abbreviation is supposed to have a period in.
+ABBREVIATION, WITH_PERIOD = 0.3, 0.99
+#: A word of letters and periods; what ends a sentence, with closing marks after it.
+PERIOD_WORD, SENTENCE_END = r"^[^\p{L}]*(\p{L}[\p{L}.]*)$", "[.!?][\"')\\]]*$"
+
+
+def sentence_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, pos, word, type, period)``: the words between white space; of
+    those of letters and periods the lower-cased type without a last period, and
+    whether they have one."""
+    words = T.posexplode_rows(docs, ["doc_id"], F.split(F.col(text), f"[{WS_CLASS}]+"), "pos", "word").where("word <> ''")
+    body = F.regexp_extract("word", PERIOD_WORD, 1)
+    return (words.withColumn("body", F.when(body != "", F.lower(body)))
+            .select("doc_id", "pos", "word", F.regexp_replace("body", r"\.$", "").alias("type"), F.col("body").endswith(".").alias("period")))
+
+
+def abbreviations(words: DataFrame) -> DataFrame:
+    """``(type, n, n_period, score)`` of the abbreviations among ``sentence_words``.
+
+    Unsupervised, after Kiss and Strunk (2006): the log-likelihood ratio of
+    "nearly always before a period" against "before a period as often as any
+    word", less for long words, more for inner periods, and much less for each
+    occurrence without a period."""
+    g = words.where("type is not null").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("period").cast("long")).alias("n_period"))
+    # the share of all words that have a period: one number
+    total = g.agg(F.sum("n").alias("n"), F.sum("n_period").alias("n_period"))
+    p = F.least(F.greatest(F.col("t.n_period") / F.col("t.n"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    plain = F.col("n") - F.col("n_period")
+    letters = F.length(F.replace("type", F.lit("."), F.lit("")))
+    ratio = 2 * (F.col("n_period") * (F.lit(math.log(WITH_PERIOD)) - F.log(p)) + plain * (F.lit(math.log(1 - WITH_PERIOD)) - F.log(1 - p)))
+    score = ratio * (F.length("type") - letters + 1) * F.exp(-letters - plain * F.log(letters.cast("double")))
+    one = total.select(F.struct("n", "n_period").alias("t"), F.lit(1).alias("one"))
+    scored = g.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").select("type", "n", "n_period", F.round(score, 9).alias("score"))
+    return scored.where((F.col("n_period") > 0) & (F.col("score") >= ABBREVIATION))
+
+
+def learned_sentences(words: DataFrame, known: DataFrame) -> DataFrame:
+    """``(doc_id, sent_id, sentence)``: the words up to one that ends in a mark of
+    the end, unless that is the period of a ``known`` abbreviation (column
+    ``type``) or of an initial; joined by one space.
+
+    Words are split by document; the few abbreviations join them by type."""
+    from pyspark.sql.window import Window
+    marked = words.join(known.select("type", F.lit(True).alias("known")), "type", "left")
+    inner = F.coalesce(F.col("period"), F.lit(False)) & (F.coalesce(F.col("known"), F.lit(False)) | (F.length("type") == 1))
+    ends = (F.col("word").rlike(SENTENCE_END) & ~inner).cast("int")
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = marked.withColumn("ends", ends).withColumn("sent_id", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    sentence = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    return numbered.groupBy("doc_id", "sent_id").agg(sentence.alias("sentence"))

@@ -344,3 +344,33 @@ def vocab_join(spark, d):
         F.col("token").alias("term"), (F.col("cum_one") - 1).alias("term_id"))
     bow = V.bag_of_words(toks.where("split = 'test'"))
     return bow.join(ids, "term").select("doc_id", F.col("term_id").cast("bigint").alias("term_id"), "n")
+
+
+_ABBREVIATIONS = f"""WITH w AS (SELECT doc_id, pos, ws[pos] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM (
+    SELECT doc_id, string_split_regex(coalesce(text, ''), '[{S.WS_CLASS}]+') AS ws FROM documents)) WHERE ws[pos] <> ''),
+b AS (SELECT doc_id, pos, word, lower(regexp_extract(word, '{V.PERIOD_WORD}', 1)) AS body FROM w),
+words AS (SELECT doc_id, pos, word, CASE WHEN body <> '' THEN regexp_replace(body, '\\.$', '') END AS type, suffix(body, '.') AS period FROM b),
+g AS (SELECT type, count(*) AS n, CAST(sum(CASE WHEN period THEN 1 ELSE 0 END) AS BIGINT) AS n_period, length(replace(type, '.', '')) AS letters
+      FROM words WHERE type IS NOT NULL GROUP BY type),
+p AS (SELECT least(greatest(sum(n_period) / sum(n), 1e-9), 1 - 1e-9) AS p FROM g),
+scored AS (SELECT type, n, n_period, round(2 * (n_period * (ln({V.WITH_PERIOD}) - ln(p)) + (n - n_period) * (ln(1 - {V.WITH_PERIOD}) - ln(1 - p)))
+      * (length(type) - letters + 1) * exp(-letters - (n - n_period) * ln(letters::DOUBLE)), 9) AS score FROM g, p),
+abbr AS (SELECT * FROM scored WHERE n_period > 0 AND score >= {V.ABBREVIATION}) """
+
+
+@register("abbreviations", _ABBREVIATIONS + "SELECT type, n, n_period, round(score, 6) AS score FROM abbr")
+def abbreviations(spark, d):
+    """Words that the corpus itself shows to be abbreviations."""
+    found = V.abbreviations(V.sentence_words(C.docs(spark, d)))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@register("learned_sentences", _ABBREVIATIONS + f""", ends AS (SELECT w.doc_id, w.pos, w.word,
+   CASE WHEN regexp_matches(w.word, '{V.SENTENCE_END.replace("'", "''")}') AND NOT (coalesce(w.period, FALSE) AND (a.type IS NOT NULL OR length(w.type) = 1))
+        THEN 1 ELSE 0 END AS e FROM words w LEFT JOIN abbr a ON a.type = w.type),
+ids AS (SELECT doc_id, pos, word, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_id FROM ends)
+SELECT doc_id, CAST(sent_id AS BIGINT) AS sent_id, string_agg(word, ' ' ORDER BY pos) AS sentence FROM ids GROUP BY doc_id, sent_id""")
+def learned_sentences(spark, d):
+    """Sentences that do not end at abbreviations or initials."""
+    words = C.materialize(V.sentence_words(C.docs(spark, d)))
+    return V.learned_sentences(words, V.abbreviations(words)).withColumn("sent_id", F.col("sent_id").cast("bigint"))

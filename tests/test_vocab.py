@@ -41,3 +41,25 @@ def test_clean_tokens_order_and_empty(spark):
     assert got[2] == [] and got[3] == []
     # films -> film (lexicon = vocabulary has no 'film', so stays 'films') -> stem
     assert got[1] == ["film", "run", "cat", "ran"]
+
+
+def test_abbreviations_and_initials_do_not_end_sentences(spark):
+    import math
+    from revlens.operators import vocab as V
+    text = ("Dr. Smith met Mr. Brown. They saw J. R. Ewing! It was late (very late.) The end. "
+            "St. Lee, e.g. in Rome, said \"no.\" Dr. Who agreed? The end came. No end. The sea. ")
+    docs = [(i, text) for i in range(8)] + [(90, None), (91, ""), (92, " . \n"), (93, "The sea the sea the end smith")]
+    words = V.sentence_words(spark.createDataFrame(docs, "doc_id long, text string").na.fill(""))
+    found = {r["type"]: r for r in V.abbreviations(words).collect()}
+    assert {"dr", "mr", "e.g"} <= set(found) and not {"end", "sea", "brown", "rome", "late"} & set(found)
+    rows = [(r["type"], r["period"]) for r in words.collect() if r["type"] is not None]
+    p = sum(x for _, x in rows) / len(rows)
+    n, m = len([1 for t, _ in rows if t == "dr"]), len([1 for t, x in rows if t == "dr" and x])
+    ratio = 2 * (m * (math.log(.99) - math.log(p)) + (n - m) * (math.log(.01) - math.log(1 - p)))
+    assert n == m == 16 and abs(found["dr"]["score"] - ratio * math.exp(-2)) < 1e-6
+    got = {}
+    for r in V.learned_sentences(words, V.abbreviations(words)).orderBy("doc_id", "sent_id").collect():
+        got.setdefault(r["doc_id"], []).append(r["sentence"])
+    assert got[0] == ["Dr. Smith met Mr. Brown.", "They saw J. R. Ewing!", "It was late (very late.)", "The end.",
+                      "St. Lee, e.g. in Rome, said \"no.\"", "Dr. Who agreed?", "The end came.", "No end.", "The sea."]
+    assert got[92] == ["."] and 90 not in got and 91 not in got and got[93] == ["The sea the sea the end smith"]
