@@ -23,11 +23,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "read_corpus", "text_variants", "clean_doc", "sentences", "bag_of_words", "top_mean_tfidf",
     "clean_bag_of_words", "tfidf_l2", "naive_bayes", "score_sentiment", "cosine_sparse",
-    "cosine_dense", "silhouette", "kmeans_assign", "roc_auc", "lda_topics", "build_graph",
+    "cosine_dense", "silhouette", "kmeans_assign", "roc_auc", "build_graph",
     "entity_graph", "neighborhood", "tfidf_clean", "pattern_join",
 ]
 # iterative fits of minutes: run once
-FITS = ["lsa_topics", "word_vectors", "document_vectors", "linear_svm", "neural_genre_classifier"]
+FITS = ["lda_topics", "lsa_topics", "word_vectors", "document_vectors", "linear_svm", "neural_genre_classifier"]
 
 
 def main():
