@@ -259,10 +259,12 @@ class Blocks:
 
     ``whole`` rows lie in one block each (documents, say, whose size is bounded);
     other rows are split where they have more than ``piece`` entries.  ``n_cols``
-    is a bound on the number of columns, where the caller knows one.
+    is a bound on the number of columns, where the caller knows one.  Small matrices
+    are ``spread`` over all cores, or else lie in as few blocks as hold them.
     """
 
-    def __init__(self, entries: DataFrame, whole: bool = True, per_block: int = BLOCK_ENTRIES, piece: int = PIECE, n_cols: int | None = None):
+    def __init__(self, entries: DataFrame, whole: bool = True, per_block: int = BLOCK_ENTRIES, piece: int = PIECE, n_cols: int | None = None,
+                 spread: bool = True):
         entries = entries.select("row", "col", F.col("x").cast("double").alias("x"))
         if whole:
             pieces = entries.withColumn("piece", F.lit(0))
@@ -278,7 +280,7 @@ class Blocks:
         self.whole = last == 0
         self.n_rows = pieces if self.whole else packed.select("row").distinct().count()
         cores = packed.sparkSession.sparkContext.defaultParallelism
-        self.n_blocks = max(1, -(-self.n_entries // per_block), min(cores, self.n_entries // 4096))
+        self.n_blocks = max(1, -(-self.n_entries // per_block), min(cores, self.n_entries // 4096) if spread else 1)
         self.packed = packed.withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(self.n_blocks)).cast("int"))
         self._needs: dict[str, DataFrame] = {}
         self._keys = {"row": self.n_rows} | ({} if n_cols is None else {"col": n_cols})
