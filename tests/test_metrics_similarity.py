@@ -190,3 +190,34 @@ def test_kmeans_rows_are_at_their_nearest_centroid(spark):
         for c, center in enumerate(model.clusterCenters()):
             assert np.allclose(center, x[[i for i in got if got[i] == c]].mean(0), atol=0.2)
     assert cost["k4"] < cost["k3"] < cost["k2"]
+
+
+def test_silhouettes_of_near_points_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    X = np.vstack([rng.normal(size=(30, 4)), np.ones((5, 4)), np.ones((5, 4)) + 1e-9 * np.arange(1, 6)[:, None]]) + 1e5
+    one, two = [i % 3 for i in range(40)], [i // 10 for i in range(40)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], a, b) for i, (v, a, b) in enumerate(zip(X, one, two))],
+                               "id long, v array<double>, a int, b int")
+    got = {r["run"]: r["silhouette"] for r in SIM.silhouettes(df, "id", "v", {"a": "a", "b": "b"}, rows_per_block=7).collect()}
+    assert got["a"] == pytest.approx(brute_silhouette(X, one), abs=1e-9)
+    assert got["b"] == pytest.approx(brute_silhouette(X, two), abs=1e-9)
+    assert SIM.distances(X[30:35], X[30:35]).max() == 0
+
+
+def test_points_without_cluster_score_zero_and_absent_ones_do_not_count(spark):
+    df = spark.createDataFrame([(0, [0.0], 1, True), (1, [1.0], 1, True), (2, [5.0], 2, True), (3, [6.0], 2, True),
+                                (4, [9.0], None, True), (5, [100.0], 1, False)], "id long, v array<float>, c int, here boolean")
+    got = SIM.silhouettes(df, "id", "v", {"r": "c"}, among={"r": "here"}).collect()[0]["silhouette"]
+    assert got == pytest.approx(4 / 5 * brute_silhouette([np.array([x]) for x in (0.0, 1.0, 5.0, 6.0)], [1, 1, 2, 2]))
+
+
+def test_runs_share_the_distances(spark):
+    from revlens.operators import cluster as CU
+    rows = [(f"k{k}", i, [float(i % 7), float(i)], i % k) for k in (3, 4) for i in range(40)]
+    pred = spark.createDataFrame(rows, "run string, vec_id long, embedding array<double>, cluster int")
+    out = CU.run_silhouettes(pred, "vec_id", "embedding", ["k3", "k4"])
+    X = [np.array([float(i % 7), float(i)]) for i in range(40)]
+    for r in out.collect():
+        assert r["silhouette"] == pytest.approx(brute_silhouette(X, [i % int(r["run"][1]) for i in range(40)]), abs=1e-9)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
