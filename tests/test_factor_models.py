@@ -256,3 +256,21 @@ def test_empty_tables(spark):
     assert TP.lda(bow, 2).documents.collect() == []
     assert VE.infer_paragraph_vectors(VE.fit_paragraph_vectors(bow), bow).collect() == []
     assert VE.word_vectors(spark.createDataFrame([], "doc_id long, tokens array<string>"), 4).collect() == []
+
+
+def test_momentum_needs_fewer_rounds(spark):
+    rng = np.random.default_rng(6)
+    u, v = (np.linalg.qr(rng.normal(size=(60, 60)))[0] for _ in range(2))
+    s = 0.97 ** np.arange(60)  # slow decay, few spare components
+    a = (u * s) @ v
+    starts = BL.random_vectors(spark.range(60).select(F.col("id").alias("key"), F.xxhash64("id").alias("hash")), 6)
+    q, before, plain = np.linalg.qr(dense(BL.as_arrays(starts), 60))[0], np.zeros(3), 0
+    while True:  # rounds without momentum
+        plain += 1
+        q, r = np.linalg.qr(a.T @ (a @ q))
+        now = np.sqrt(np.linalg.svd(r)[1])[:3]
+        if np.all(np.abs(now - before) <= 1e-9 * now):
+            break
+        before = now
+    d = BL.decompose(BL.Blocks(entries(spark, a)), starts, 3, tol=1e-9)
+    assert d.rounds <= plain * 2 / 3 and np.allclose(d.values, s[:3], rtol=1e-7)
