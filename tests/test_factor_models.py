@@ -258,6 +258,16 @@ def test_empty_tables(spark):
     assert VE.word_vectors(spark.createDataFrame([], "doc_id long, tokens array<string>"), 4).collect() == []
 
 
+def test_tables_of_many_words_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(BL, "BROADCAST_ROWS", 3)
+    tokens = spark.createDataFrame(some_docs(), "doc_id long, tokens array<string>")
+    pmi = VE.shifted_pmi(VE.cooccurrence(tokens, 3))
+    want = sorted(tuple(r) for r in pmi.collect())
+    assert "BroadcastHashJoin" not in pmi._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(BL, "BROADCAST_ROWS", 1 << 16)
+    assert want == sorted(tuple(r) for r in VE.shifted_pmi(VE.cooccurrence(tokens, 3)).collect()) and want
+
+
 def test_momentum_needs_fewer_rounds(spark):
     rng = np.random.default_rng(6)
     u, v = (np.linalg.qr(rng.normal(size=(60, 60)))[0] for _ in range(2))
