@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks as BL
 
 
 def n_docs(docs: DataFrame):
@@ -32,9 +33,13 @@ def idf_table(bow: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def tfidf(bow: DataFrame, docs: DataFrame) -> DataFrame:
-    """Raw count x smoothed idf, no normalisation."""
-    return (bow.join(idf_table(bow, docs), "term")
-            .select("doc_id", "term", (F.col("n") * F.col("idf")).alias("score")))
+    """Raw count x smoothed idf, no normalisation.
+
+    Reads ``bow`` three times, so it should be a written table.
+    """
+    counts = BL.written(document_frequency(bow), "document_frequency")
+    idf = counts.select("term", (F.log((F.lit(1) + n_docs(docs)) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
+    return BL.joined(bow, idf, "term", counts, "df").select("doc_id", "term", (F.col("n") * F.col("idf")).alias("score"))
 
 
 def l2_normalize(scores: DataFrame) -> DataFrame:

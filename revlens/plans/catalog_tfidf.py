@@ -22,7 +22,7 @@ BOW_CTE = f"WITH bow AS (SELECT doc_id, term, count(*) AS n FROM ({_TOK}) GROUP
 
 def _scores(spark, d):
     docs = C.doc_rows(spark, d)
-    return TF.tfidf(C.plain_bow(spark, d), docs), docs
+    return TF.tfidf(C.plain_bow_table(spark, d), docs), docs
 
 
 def _means(spark, d):
@@ -77,8 +77,9 @@ def prevalent_terms(spark, d):
 @register("term_subset", BOW_CTE + f"""
 SELECT doc_id, term, round(score, 6) AS score FROM tfidf WHERE term IN (SELECT unnest({S.list_lit(PREVALENT)}))""")
 def term_subset(spark, d):
-    s, _ = _scores(spark, d)
     terms = spark.createDataFrame([(t,) for t in PREVALENT], "term string")
+    # a term's weight depends on its own rows and the number of documents alone
+    s = TF.tfidf(C.written(C.plain_bow_of(spark, d, terms), "bow"), C.doc_rows(spark, d))
     return TF.term_subset(s, terms).select("doc_id", "term", F.round("score", 6).alias("score"))
 
 
@@ -137,5 +138,5 @@ def tfidf_clean(spark, d):
     """The reference's TF-IDF input: full cleaning chain, then smoothed TF-IDF."""
     docs = C.docs(spark, d)
     # the scores and the document frequencies read the bag: written once
-    s = TF.tfidf(C.materialize(V.clean_bag_of_words(docs)), docs)
+    s = TF.tfidf(C.written(V.clean_bag_of_words(docs), "bow"), docs)
     return s.select("doc_id", "term", F.round("score", 6).alias("score"))
