@@ -47,8 +47,7 @@ SELECT b.doc_id, b.term, round(b.n * i.idf, 6) AS score FROM bow b JOIN idf i ON
 def write_term_scores(spark, d):
     """Term scores by submission file written and read back."""
     path = _scratch(spark, "term-scores")
-    docs = C.docs(spark, d)
-    scores = TF.tfidf(C.plain_bow(spark, d), docs)
+    scores = TF.tfidf(C.plain_bow_table(spark, d), C.doc_rows(spark, d))
     scores = scores.select(F.concat(F.col("doc_id").cast("string"), F.lit(".csv")).alias("submission_file"), "term", "score")
     sinks.write_term_scores(scores, path, key="submission_file")
     back = spark.read.option("header", True).schema("submission_file string, term string, score double").csv(path)
