@@ -129,7 +129,7 @@ _CLEAN_BOW = CLEAN_MAP_CTE + f""", cbow AS (SELECT o.doc_id, m.term, count(*) AS
 @register("clean_bag_of_words", _CLEAN_BOW + " SELECT doc_id, term, n FROM cbow")
 def clean_bag_of_words(spark, d):
     """Bag of words of the full cleaning chain (lemma + stop words + Porter stem)."""
-    return V.clean_bag_of_words(C.docs(spark, d))
+    return V.clean_bag_of_words(C.docs_by_document(spark, d))
 
 
 @register("tfidf_clean", _CLEAN_BOW + """, cidf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM cbow GROUP BY term)
@@ -138,5 +138,5 @@ def tfidf_clean(spark, d):
     """The reference's TF-IDF input: full cleaning chain, then smoothed TF-IDF."""
     docs = C.docs(spark, d)
     # the scores and the document frequencies read the bag: written once
-    s = TF.tfidf(C.written(V.clean_bag_of_words(docs), "bow"), docs)
+    s = TF.tfidf(C.written(V.clean_bag_of_words(C.docs_by_document(spark, d)), "bow"), docs)
     return s.select("doc_id", "term", F.round("score", 6).alias("score"))
