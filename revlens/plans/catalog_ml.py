@@ -171,12 +171,14 @@ def _nb_inputs(spark, d):
     docs = _labelled_docs(spark, d)
     # the bag of words feeds the vocabulary cap, the idf, both parts' features and
     # the class counts: it is written once instead of re-tokenising per branch
-    bow = C.materialize(T.explode_rows(docs, ["doc_id"], CL.sk_tokens("text"), "term")
-                        .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    # texts are dealt by document, so that their words need no shuffle to be counted
+    texts = C.docs_by_document(spark, d)
+    bow = C.written(T.explode_rows(texts, ["doc_id"], CL.sk_tokens("text"), "term")
+                    .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")), "bow")
     train = docs.select("doc_id", "label", "split").where("split = 'train'")
     train_bow = SP.split_train_test(bow, "doc_id", 0.8, seed=1).where("split = 'train'").drop("split")
     # the L2-normalised features feed fitting, both parts and the feature sums
-    feats = C.materialize(TF.tfidf_l2(train_bow, train, bow, 4000))
+    feats = C.written(TF.tfidf_l2(train_bow, train, bow, 4000), "features")
     return docs, train, train_bow, feats
 
 

@@ -82,3 +82,9 @@ def test_frequent_tokens_are_mapped_in_place(spark, monkeypatch):
     bag = {(r.doc_id, r.term): r.n for r in V.clean_bag_of_words(docs).collect()}
     assert bag == {(i, t): n for i, x in got.items() for t, n in Counter(x).items()}
     assert "BroadcastHashJoin" in plan(V.clean_tokens(docs))
+
+
+def test_features_are_read_as_columns(spark):
+    from __spark_entry__ import queries
+    text = plan(queries()["tfidf_l2"](spark, "/root/testdata/sf0.001"))
+    assert "Scan ExistingRDD" not in text and "FileScan parquet" in text
