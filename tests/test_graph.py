@@ -127,3 +127,20 @@ def test_patterns_are_found_in_one_reading_of_long_nodes(spark, monkeypatch):
     monkeypatch.setattr(G, "NODE_BYTES", 5_000)
     assert sorted(r["node"] for r in G.nodes_with_patterns(df, p).collect()) == want
     assert G.nodes_with_patterns(df, p.limit(0)).collect() == []
+
+
+def test_ner_model_is_given_slices_of_bounded_text(spark, monkeypatch):
+    """The spans of a whole Arrow batch are never Python objects at the same time."""
+    import pandas as pd
+    monkeypatch.setattr(A, "MODEL_CHARS", 1000)
+
+    def given(texts):
+        size = int(texts.str.len().fillna(0).sum())
+        return pd.Series([[{"entity_group": "PER", "score": 1.0, "word": t, "start": len(texts), "end": size}] for t in texts])
+    texts = [None if i % 7 == 3 else "" if i % 7 == 5 else "x" * (5000 if i == 20 else 90 + i) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.spans[0] for r in A.extract_ner(df, "text", given).collect()}
+    assert [got[i].word for i in range(60)] == texts
+    assert all(s.end <= 1000 or s.start == 1 for s in got.values())
+    assert got[20].end == 5000 and max(s.start for s in got.values()) > 1
+    assert A.extract_ner(df.where("false"), "text", given).collect() == []
