@@ -125,6 +125,23 @@ def test_cosine_dense_blocks(spark, rows_per_block):
     assert got[(12, 13)] == pytest.approx(1.0)
 
 
+def test_cosine_dense_sends_a_vector_to_few_blocks(spark, monkeypatch):
+    """More vectors do not mean more copies of each, and pairs leave a task in slices."""
+    from revlens.operators.similarity import _wide_blocks
+    assert [_wide_blocks(n, 64, 512) for n in (0, 500, 2_000, 100_000, 1_000_000)] == [1, 1, 4, 16, 16]
+    assert _wide_blocks(10_000_000, 64, 512) * SIM.BLOCK_BYTES >= 10_000_000 * 64 * 8
+    monkeypatch.setattr(SIM, "PAIRS", 10)
+    rng = np.random.default_rng(2)
+    vs = [rng.normal(size=4) for _ in range(60)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "id long, v array<float>")
+    want = brute_cos([np.array(v, np.float32).astype(float) for v in vs])
+    for least in (None, 0.4):
+        got = {(r["a"], r["b"]): r["sim"] for r in SIM.cosine_dense(df, "id", "v", rows_per_block=2, min_sim=least).collect()}
+        assert set(got) == {k for k, s in want.items() if least is None or s >= least}
+        assert all(abs(want[k] - s) < 1e-9 for k, s in got.items())
+    assert SIM.cosine_dense(df.where("false"), "id", "v").collect() == []
+
+
 def test_cosine_sparse_blocks(spark):
     docs = {1: {"a": 1.0, "b": 2.0}, 2: {"b": 1.0}, 3: {"c": 5.0}, 4: {}, 5: {"a": 1.0, "c": 1.0}}
     rows = [(d, t, s) for d, ts in docs.items() for t, s in ts.items()]
