@@ -63,3 +63,20 @@ def test_abbreviations_and_initials_do_not_end_sentences(spark):
     assert got[0] == ["Dr. Smith met Mr. Brown.", "They saw J. R. Ewing!", "It was late (very late.)", "The end.",
                       "St. Lee, e.g. in Rome, said \"no.\"", "Dr. Who agreed?", "The end came.", "No end.", "The sea."]
     assert got[92] == ["."] and 90 not in got and 91 not in got and got[93] == ["The sea the sea the end smith"]
+
+
+def test_learned_sentences_moves_words_by_document_only(spark):
+    """No exchange by type, which would bring all uses of a word to one task."""
+    from pyspark.sql import functions as F
+    from revlens.operators import vocab as V
+    words = V.sentence_words(spark.createDataFrame([(i, "Dr. Who came 1 2 3. He left.") for i in range(20)], "doc_id long, text string"))
+    known = spark.createDataFrame([("dr", 1)], "type string, n long").where(F.col("n") > 0)
+    plan = V.learned_sentences(words, known)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = V.learned_sentences(words, known)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+        assert sorted({r.sentence for r in out.collect()}) == ["Dr. Who came 1 2 3.", "He left."]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
