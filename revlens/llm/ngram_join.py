@@ -45,6 +45,8 @@ PART = 4
 LARGE_GROUP, GROUP_BLOCK = 16, 2048
 #: Partners that a set of a large group proposes in each round before all remaining pairs are tested.
 PROMISING = (1, 4)
+#: Smallest signatures of large groups that a set names, and of these the ones told apart in a group.
+NAMED, MARKS = 8, 64
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                        ("digest", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
@@ -199,7 +201,8 @@ def _possible(num: int, den: int):
 def _possible_in_groups(num: int, den: int, best: int | None):
     """Pairs of different components in a signature's group that sizes and
     digests allow; with ``best``, for each set only its most promising partners
-    of no smaller size."""
+    of no smaller size.  Two sets that both name a smaller signature meet in that
+    signature's group, so sets that share many signatures are one pair, not one a group."""
     def run(it):
         out, held = [], 0
         for group in runs(it, ["sig", "one", "two"]):
@@ -224,6 +227,7 @@ def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.nd
     node, root, block = (group.column(c).to_numpy()[order] for c in ("node", "root", "block"))
     digests = group.column("digest").take(pa.array(order)).to_pylist()
     one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+    marks = _marks(group.column("named").combine_chunks().take(pa.array(order)), group.column("sig")[0].as_py())
     upto = np.searchsorted(n, n * den // num, "right")  # partners of a size that is not less
     lengths = np.array([0 if d is None else 2 * len(d) for d in digests])
     found = []
@@ -233,6 +237,7 @@ def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.nd
         j = j[root[j] != root[i]]
         if one != two:
             j = j[block[j] != block[i]]
+        j = j[(marks[j] & marks[i]) == 0]
         if not len(j):
             continue
         bound = np.full(len(j), n[i])  # all of the smaller set
@@ -257,6 +262,20 @@ def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.nd
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+def _marks(named: pa.ListArray, sig: int) -> np.ndarray:
+    """A bit for each of the signatures below ``sig`` that most sets name, by set."""
+    sets = np.repeat(np.arange(len(named)), np.diff(named.offsets.to_numpy()))
+    values = named.flatten().to_numpy()
+    sets, values = sets[values < sig], values[values < sig]
+    each, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    bit = np.zeros(len(each), np.uint64)
+    top = np.argsort(-count, kind="stable")[:MARKS]
+    bit[top] = np.uint64(1) << np.arange(len(top), dtype=np.uint64)
+    out = np.zeros(len(named), np.uint64)
+    np.bitwise_or.at(out, sets, bit[at])
+    return out
+
+
 def _verified(k: int, num: int, den: int):
     def run(it):
         last: tuple = (None, None)
@@ -319,8 +338,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     links = s.write(_links(s, "near-texts", near, classes, keyed, k, num, den), "links")
     label, tested, linked = components(links), near, links.select("a", "b")
     # first each set's most promising partners, which joins most of a large group; then whatever is left, all of it
+    open_ = found.join(classes.select("node", "n"), "node")
     for step, best in enumerate((*PROMISING, None)):
-        far = _between(s, f"open{step}", found, label, classes, num, den, best).join(tested, ["a", "b"], "left_anti")
+        open_ = _open(s, f"open{step}", open_, label)  # a group of one component stays so
+        far = _between(open_, classes, num, den, best).join(tested, ["a", "b"], "left_anti")
         far = s.write(far, f"far{step}")
         more = s.write(_links(s, f"texts{step}", far, classes, keyed, k, num, den), f"more{step}")
         tested = tested.union(far)
@@ -356,16 +377,20 @@ def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     return p.mapInArrow(_possible(num, den), "a long, b long")
 
 
-def _between(s: Scratch, name: str, found: DataFrame, label: DataFrame, classes: DataFrame, num: int, den: int,
-             best: int | None) -> DataFrame:
+def _open(s: Scratch, name: str, found: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (sig, node, size, n) whose signature has sets of different components, with their root."""
+    rows = found.select("sig", "node", "size", "n")
+    at = rows.join(label, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("root"))
+    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return s.write(at.join(open_, "sig"), name)
+
+
+def _between(at: DataFrame, classes: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
     """Pairs of a signature's sets that are in different components so far and
     that sizes and digests allow (``best``: of large groups only, and only each
     set's most promising ones).  In a large group the digests are compared in
     place (block by block where it is very large), so that only possible pairs
     become rows; the pairs of small groups are joined, then checked."""
-    at = found.join(label, "node", "left").select("sig", "node", "size", F.coalesce("root", "node").alias("root"))
-    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    at = s.write(at.join(open_, "sig").join(classes.select("node", "n"), "node"), name)
     small = at.where(F.col("size") < LARGE_GROUP).select("sig", "node", "root", "n")
     other = small.select("sig", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n")))
     few = small.join(other, "sig").where("node < node2 and root <> root2").where(
@@ -374,7 +399,11 @@ def _between(s: Scratch, name: str, found: DataFrame, label: DataFrame, classes:
     large = (at.where(F.col("size") >= LARGE_GROUP).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to"))
-    large = large.join(classes.select("node", "digest"), "node").select("sig", "one", "two", "block", "node", "root", "n", "digest")
+    named = (at.where(F.col("size") >= LARGE_GROUP).groupBy("node")
+             .agg(F.slice(F.sort_array(F.collect_list("sig")), 1, NAMED).alias("named")))
+    digests = in_buckets(classes.select("node", "digest"), "node", at.where(F.col("size") >= LARGE_GROUP), "node")
+    large = (large.join(named, "node").join(digests, "node")
+             .select("sig", "one", "two", "block", "node", "root", "n", "digest", "named"))
     many = (large.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two")
             .mapInArrow(_possible_in_groups(num, den, best), "a long, b long"))
     if best is not None:

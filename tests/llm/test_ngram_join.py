@@ -102,3 +102,23 @@ def test_digests_bound_the_intersection():
             assert J.most_shared(J.digest(x), J.digest(y)) >= both
             assert J.most_shared(J.digest(y), J.digest(x)) <= min(len(x), len(y))
     assert J.most_shared(None, J.digest(x)) is None
+
+
+def test_sets_that_share_many_signatures_are_proposed_once():
+    """A group of near copies has many common signatures; its pairs are rows once, not once a signature."""
+    import pyarrow as pa
+    n, sigs = 40, list(range(-300, 300, 20))
+    r = np.random.default_rng(4)
+    sets = [r.integers(0, 2**63, 50, dtype=np.uint64)] * n
+    of = [sorted(r.choice(sigs, len(sigs) - 3, replace=False).tolist()) for _ in range(n)]
+    rows, found = 0, set()
+    for sig in sigs:
+        at = [i for i in range(n) if sig in of[i]]
+        group = pa.table({"sig": [sig] * len(at), "one": pa.array([0] * len(at), pa.int32()), "two": pa.array([0] * len(at), pa.int32()),
+                          "block": pa.array([0] * len(at), pa.int32()), "node": at, "root": at, "n": [50] * len(at),
+                          "digest": [J.digest(sets[i]) for i in at], "named": [of[i][:J.NAMED] for i in at]})
+        for b in J._possible_in_groups(85, 100, None)(iter(group.to_batches())):
+            rows += b.num_rows
+            found |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    assert found == {(i, j) for i in range(n) for j in range(i + 1, n)}
+    assert rows < 1.1 * len(found)
