@@ -51,6 +51,7 @@ NAMED, MARKS = 8, 64
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                        ("digest", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 _SIGNATURES = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+_PROPOSED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("united", pa.int64())])
 
 
@@ -98,7 +99,7 @@ class Summary:
     def add(self, tokens: np.ndarray) -> None:
         self.pending.append(tokens)
         self.waiting += len(tokens)
-        if self.waiting > 1 << 21:
+        if self.waiting > 1 << 18:
             self.fold()
 
     def fold(self) -> None:
@@ -201,26 +202,55 @@ def _possible(num: int, den: int):
 def _possible_in_groups(num: int, den: int, best: int | None):
     """Pairs of different components in a signature's group that sizes and
     digests allow; with ``best``, for each set only its most promising partners
-    of no smaller size.  Two sets that both name a smaller signature meet in that
-    signature's group, so sets that share many signatures are one pair, not one a group."""
+    of no smaller size, and beside the pairs (a, b) the sets of pairs that are not
+    proposed (a, no b, sig, n): no other ones can still link in this group.  Two sets
+    that both name a smaller signature meet in that signature's group, so sets that
+    share many signatures are one pair, not one a group."""
     def run(it):
-        out, held = [], 0
+        out, left, held = [], [], 0
         for group in runs(it, ["sig", "one", "two"]):
-            out.append(_group_pairs(group, num, den, best))
-            held += len(out[-1])
+            pairs, rest = _group_pairs(group, num, den, best)
+            out.append(pairs)
+            left.append(rest)
+            held += len(pairs) + len(rest)
             if held > 1 << 20:
-                yield _pair_batch(out)
-                out, held = [], 0
-        yield _pair_batch(out)
+                yield _pair_batch(out, left)
+                out, left, held = [], [], 0
+        yield _pair_batch(out, left)
     return run
 
 
-def _pair_batch(pairs: list) -> pa.RecordBatch:
+def _pair_batch(pairs: list, left: list) -> pa.RecordBatch:
     p = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+    r = np.concatenate([*left, np.zeros((0, 3), np.int64)])
+    of_pairs, of_sets = np.arange(len(p) + len(r)) >= len(p), np.arange(len(p) + len(r)) < len(p)
+    return record_batch(_PROPOSED, np.r_[p[:, 0], r[:, 0]], pa.array(np.r_[p[:, 1], r[:, 0]], mask=of_pairs),
+                        pa.array(np.r_[p[:, 0], r[:, 1]], mask=of_sets), pa.array(np.r_[p[:, 0], r[:, 2]], mask=of_sets))
 
 
-def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.ndarray:
+def _in_few(num: int, den: int, most: int):
+    """Pairs of different components whose sizes allow the threshold, in groups
+    of fewer than ``most`` rows that come sorted by signature."""
+    def run(it):
+        last = np.zeros((4, 0), np.int64)  # rows whose group may go on
+        for b in it:
+            x = np.hstack([last, np.stack([b.column(c).to_numpy() for c in ("sig", "node", "n", "root")])])
+            sig, node, n, root = x
+            out = [np.zeros((0, 2), np.int64)]
+            for d in range(1, min(most, len(sig))):
+                i = np.flatnonzero(sig[d:] == sig[:-d])
+                if not len(i):
+                    break
+                i = i[i + d >= last.shape[1]]
+                i = i[(root[i] != root[i + d]) & (np.minimum(n[i], n[i + d]) * den >= np.maximum(n[i], n[i + d]) * num)]
+                out.append(np.stack([np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])], 1))
+            last = x[:, max(0, len(sig) - most + 1):]
+            p = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+    return run
+
+
+def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> tuple[np.ndarray, np.ndarray]:
     n = group.column("n").to_numpy()
     order = np.argsort(n, kind="stable")
     n = n[order]
@@ -230,7 +260,7 @@ def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.nd
     marks = _marks(group.column("named").combine_chunks().take(pa.array(order)), group.column("sig")[0].as_py())
     upto = np.searchsorted(n, n * den // num, "right")  # partners of a size that is not less
     lengths = np.array([0 if d is None else 2 * len(d) for d in digests])
-    found = []
+    found, rest = [], np.zeros(len(n), bool)
     matrix, row_of, wide = None, None, -1
     for i in range(len(n)):
         j = np.arange(i + 1, upto[i])
@@ -257,9 +287,14 @@ def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> np.nd
                 bound[part] = np.minimum(matrix[row_of[j[part]]], matrix[row_of[i]]).sum(1, dtype=np.int64)
         likely = bound / (n[i] + n[j] - bound)
         keep = np.flatnonzero(sure | (den * bound >= num * (n[i] + n[j] - bound)))
-        j = j[keep if best is None else keep[np.argsort(-likely[keep], kind="stable")[:best]]]
+        if best is not None and len(keep) > best:
+            keep = keep[np.argsort(-likely[keep], kind="stable")]
+            rest[i] = rest[j[keep[best:]]] = True
+            keep = keep[:best]
+        j = j[keep]
         found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    sig = np.full(int(rest.sum()), group.column("sig")[0].as_py(), np.int64)
+    return np.concatenate([*found, np.zeros((0, 2), np.int64)]), np.stack([node[rest], sig, n[rest]], 1)
 
 
 def _marks(named: pa.ListArray, sig: int) -> np.ndarray:
@@ -338,18 +373,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     links = s.write(_links(s, "near-texts", near, classes, keyed, k, num, den), "links")
     label, tested, linked = components(links), near, links.select("a", "b")
     # first each set's most promising partners, which joins most of a large group; then whatever is left, all of it
-    open_ = found.join(classes.select("node", "n"), "node")
+    sized = found.join(classes.select("node", "n"), "node")
+    left = sized.where(F.col("size") >= LARGE_GROUP).select("sig", "node", "n")
     for step, best in enumerate((*PROMISING, None)):
-        open_ = _open(s, f"open{step}", open_, label)  # a group of one component stays so
-        far = _between(open_, classes, num, den, best).join(tested, ["a", "b"], "left_anti")
-        far = s.write(far, f"far{step}")
+        open_ = _open(s, f"open{step}", left, label)  # a group of one component stays so
+        proposed = s.write(_between(open_, classes, num, den, best), f"proposed{step}")
+        left = proposed.where(F.col("b").isNull()).select("sig", F.col("a").alias("node"), "n").distinct()
+        far = proposed.where(F.col("b").isNotNull()).select("a", "b")
+        if best is None:
+            far = far.union(_candidates(_between_few(sized.where(F.col("size") < LARGE_GROUP), label, num, den), classes, num, den))
+        far = s.write(far.distinct().join(tested, ["a", "b"], "left_anti"), f"far{step}")
         more = s.write(_links(s, f"texts{step}", far, classes, keyed, k, num, den), f"more{step}")
         tested = tested.union(far)
         if more.head(1):
             linked = linked.union(more.select("a", "b"))
             label = components(linked)
     node_root = s.write(label, "roots")
-    for name in ("shared", "near", "links", "near-texts", *(f"{n}{i}" for n in ("open", "far", "texts", "more") for i in range(len(PROMISING) + 1))):
+    for name in ("shared", "near", "links", "near-texts", *(f"{n}{i}" for n in ("open", "proposed", "far", "texts", "more") for i in range(len(PROMISING) + 1))):
         s.drop(name)
     rooted = features.join(node_root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if keys:
@@ -372,43 +412,46 @@ def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     """Distinct pairs a < b whose sizes and digests allow the threshold."""
     p = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in "ab":
-        p = p.join(classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("digest").alias(f"d{end}")), end)
+        p = p.join(classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}")), end)
     p = p.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    for end in "ba":  # digests are many times larger than sizes
+        p = p.join(classes.select(F.col("node").alias(end), F.col("digest").alias(f"d{end}")), end)
     return p.mapInArrow(_possible(num, den), "a long, b long")
 
 
+def _rooted(found: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (sig, node, n) with their component so far."""
+    return found.join(label, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+
+
 def _open(s: Scratch, name: str, found: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows (sig, node, size, n) whose signature has sets of different components, with their root."""
-    rows = found.select("sig", "node", "size", "n")
-    at = rows.join(label, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("root"))
-    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    return s.write(at.join(open_, "sig"), name)
+    """The rows (sig, node, n) whose signature has sets of different components, with their root and the group's size."""
+    at = _rooted(found, label)
+    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
+    return s.write(at.join(open_.where("x <> y").select("sig", "size"), "sig"), name)
 
 
 def _between(at: DataFrame, classes: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
-    """Pairs of a signature's sets that are in different components so far and
-    that sizes and digests allow (``best``: of large groups only, and only each
-    set's most promising ones).  In a large group the digests are compared in
-    place (block by block where it is very large), so that only possible pairs
-    become rows; the pairs of small groups are joined, then checked."""
-    small = at.where(F.col("size") < LARGE_GROUP).select("sig", "node", "root", "n")
-    other = small.select("sig", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n")))
-    few = small.join(other, "sig").where("node < node2 and root <> root2").where(
-        F.least("n", "n2") * den >= F.greatest("n", "n2") * num).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    """Pairs (a, b) of a large signature's sets that are in different components so
+    far and that sizes and digests allow; with ``best`` only each set's most promising
+    ones, and the sets of all others (a, sig, n).  The digests are compared in place
+    (block by block where the group is very large), so that only possible pairs become rows."""
     blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-    large = (at.where(F.col("size") >= LARGE_GROUP).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    large = (at.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to"))
-    named = (at.where(F.col("size") >= LARGE_GROUP).groupBy("node")
-             .agg(F.slice(F.sort_array(F.collect_list("sig")), 1, NAMED).alias("named")))
-    digests = in_buckets(classes.select("node", "digest"), "node", at.where(F.col("size") >= LARGE_GROUP), "node")
+    named = at.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, NAMED).alias("named"))
+    digests = in_buckets(classes.select("node", "digest"), "node", at, "node")
     large = (large.join(named, "node").join(digests, "node")
              .select("sig", "one", "two", "block", "node", "root", "n", "digest", "named"))
-    many = (large.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two")
-            .mapInArrow(_possible_in_groups(num, den, best), "a long, b long"))
-    if best is not None:
-        return many.distinct()
-    return _candidates(few, classes, num, den).union(many).distinct()
+    return (large.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two")
+            .mapInArrow(_possible_in_groups(num, den, best), arrow_ddl(_PROPOSED)))
+
+
+def _between_few(found: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of small groups (fewer than ``LARGE_GROUP`` rows) that are in different components."""
+    return (_rooted(found, label).repartition("sig").sortWithinPartitions("sig")
+            .mapInArrow(_in_few(num, den, LARGE_GROUP), "a long, b long"))
 
 
 def _links(s: Scratch, name: str, pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:

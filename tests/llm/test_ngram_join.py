@@ -122,3 +122,35 @@ def test_sets_that_share_many_signatures_are_proposed_once():
             found |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
     assert found == {(i, j) for i in range(n) for j in range(i + 1, n)}
     assert rows < 1.1 * len(found)
+
+
+def test_sets_without_further_partners_leave_the_group():
+    """After a round only sets of pairs that it did not propose go on; before, all of a large group did."""
+    import pyarrow as pa
+    r = np.random.default_rng(6)
+    one, other = (r.integers(0, 2**63, 50, dtype=np.uint64) for _ in range(2))
+    sets = [one] * 4 + [other] * 2 + [r.integers(0, 2**63, 50, dtype=np.uint64) for _ in range(30)]
+    n = len(sets)
+    group = pa.table({"sig": [7] * n, "one": pa.array([0] * n, pa.int32()), "two": pa.array([0] * n, pa.int32()), "block": pa.array([0] * n, pa.int32()),
+                      "node": range(n), "root": range(n), "n": [50] * n, "digest": [J.digest(x) for x in sets], "named": [[7]] * n})
+    out = [row for b in J._possible_in_groups(85, 100, 1)(iter(group.to_batches())) for row in b.to_pylist()]
+    pairs = {(x["a"], x["b"]) for x in out if x["b"] is not None}
+    left = {x["a"] for x in out if x["b"] is None}
+    assert (4, 5) in pairs and pairs <= {(i, j) for i in range(n) for j in range(i + 1, n)}
+    missing = {(i, j) for i in range(4) for j in range(i + 1, 4)} - pairs
+    assert missing and {i for p in missing for i in p} <= left <= {0, 1, 2, 3}
+    assert {(x["sig"], x["n"]) for x in out if x["b"] is None} == {(7, 50)}
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 1000])
+def test_pairs_of_small_groups(rows_a_batch):
+    import pyarrow as pa
+    r = random.Random(2)
+    rows = sorted((sig, r.randrange(1000), r.choice([10, 11, 20]), r.randrange(3)) for sig in range(60) for _ in range(r.randrange(1, 6)))
+    table = pa.table({c: pa.array([x[i] for x in rows], pa.int64()) for i, c in enumerate(("sig", "node", "n", "root"))})
+    got = set()
+    for b in J._in_few(85, 100, 6)(iter(table.to_batches(rows_a_batch))):
+        got |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows
+            if x is not y and x[0] == y[0] and x[3] != y[3] and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2])}
+    assert got == want
