@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ddl, only, record_batch, ship_package, table
+from .common import arrow_ddl, give_back, only, record_batch, ship_package, table, thrifty
 
 #: Distinct pieces replayed together, pieces held for texts that wait for it, and encoded pieces remembered.
-NEW_PIECES, WAITING, REMEMBERED = 400_000, 6_000_000, 1_500_000
+NEW_PIECES, WAITING, REMEMBERED = 1 << 17, 6_000_000, 1_500_000
 NO_RANK = np.int32(2**31 - 1)
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -158,6 +158,8 @@ class Encoder:
             self.start = np.r_[self.start, len(self.ids) + offsets[:-1]]
             self.length = np.r_[self.length, np.diff(offsets)]
             self.ids = np.r_[self.ids, ids]
+            del fresh, ids, offsets
+            give_back()
 
     def tokens(self, pieces: np.ndarray) -> np.ndarray:
         n = self.length[pieces]
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                 yield _encoded(out, fields, kinds)
                 out, size = [], 0
         yield _encoded(out, fields, kinds)
-    return base.mapInArrow(run, ddl).withColumnsRenamed(dict(zip(kept, keep)))
+    return base.mapInArrow(thrifty(run), ddl).withColumnsRenamed(dict(zip(kept, keep)))
 
 
 def _chain(first, it):
@@ -286,7 +288,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
                 yield record_batch(_DIGESTS, *map(list, zip(*out)))
                 out = []
         yield record_batch(_DIGESTS, *(map(list, zip(*out)) if out else [[]] * 4))
-    return only(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, arrow_ddl(_DIGESTS))
+    return only(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(thrifty(run), arrow_ddl(_DIGESTS))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

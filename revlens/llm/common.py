@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -81,6 +82,24 @@ def text_slices(it, column: str = "text", most: int = 1 << 19):
             yield b.slice(lo)
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(run):
+    """``run`` (batches -> batches), giving its memory back when it ends: Spark keeps
+    Python workers, and each would hold the most that any of its tasks took."""
+    def outer(it):
+        yield from run(it)
+        give_back()
+    return outer
+
+
 def runs(it, keys: list[str]):
     """Batches sorted by ``keys`` -> one table per key, also where a key goes on
     in the next batch."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_array, only, record_batch, table, text_slices
+from .common import Scratch, list_array, only, record_batch, table, text_slices, thrifty
 from .words import LOWER, utf8
 
 #: Expected number of labelled rows per language that the trigram models are fitted on.
@@ -208,7 +208,7 @@ def _beside(model, fields: list[str]):
             ll = got.column("ll").combine_chunks()
             yield pa.RecordBatch.from_arrays([*(b.column(f) for f in fields), got.column("n").combine_chunks(), ll],
                                              names=[*fields, "n", "ll"])
-    return run
+    return thrifty(run)
 
 
 def address(url: Column) -> tuple[Column, Column]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, arrow_ddl, in_buckets, only, record_batch, runs, table, text_slices
+from .common import Scratch, arrow_ddl, in_buckets, only, record_batch, runs, table, text_slices, thrifty
 from .components import components
 
 #: Entries of a Misra-Gries summary: per task, and of the merged table that is broadcast (2 MB).
@@ -132,7 +132,7 @@ def _features(k: int):
         summary.fold()
         none = pa.nulls(len(summary.tokens), pa.int64())
         yield record_batch(_FEATURES, none, none, none, none, pa.nulls(len(none), pa.binary()), summary.tokens.view(np.int64), summary.counts)
-    return run
+    return thrifty(run)
 
 
 def _parts_of(n: int) -> int:
@@ -186,7 +186,7 @@ def _signatures(k: int, num: int, den: int, frequent):
                 sig += found
                 node.append(np.full(sum(map(len, found)), nodes[d]))
             yield record_batch(_SIGNATURES, np.concatenate(sig).view(np.int64), np.concatenate(node).view(np.int64))
-    return run
+    return thrifty(run)
 
 
 def _possible(num: int, den: int):
@@ -196,7 +196,7 @@ def _possible(num: int, den: int):
             shared = [most_shared(x, y) for x, y in zip(b.column("da").to_pylist(), b.column("db").to_pylist())]
             keep = [s is None or den * s >= num * (int(x) + int(y) - s) for s, x, y in zip(shared, na, nb)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+    return thrifty(run)
 
 
 def _possible_in_groups(num: int, den: int, best: int | None):
@@ -217,7 +217,7 @@ def _possible_in_groups(num: int, den: int, best: int | None):
                 yield _pair_batch(out, left)
                 out, left, held = [], [], 0
         yield _pair_batch(out, left)
-    return run
+    return thrifty(run)
 
 
 def _pair_batch(pairs: list, left: list) -> pa.RecordBatch:
@@ -247,7 +247,7 @@ def _in_few(num: int, den: int, most: int):
             last = x[:, max(0, len(sig) - most + 1):]
             p = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-    return run
+    return thrifty(run)
 
 
 def _group_pairs(group: pa.Table, num: int, den: int, best: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +327,7 @@ def _verified(k: int, num: int, den: int):
                 if den * shared >= num * united:
                     out.append((a[i], bs[i], shared, united))
             yield record_batch(_LINKS, *(list(c) for c in zip(*out))) if out else record_batch(_LINKS, [], [], [], [])
-    return run
+    return thrifty(run)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,

@@ -82,3 +82,17 @@ def test_query_equals_library(spark):
         want[d] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha(t.encode()))
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in B.op6_byte_bpe(spark, sf).collect()}
     assert got == want
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Spark keeps Python workers; what a task has freed goes back to the system when it ends."""
+    import pyarrow as pa
+    from revlens.llm import common, ngram_join
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    texts = pa.array(["a b c d e f", None, ""])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), texts], ["doc_id", "text_key", "text"])
+    got = list(ngram_join._features(4)(iter([batch])))
+    assert calls == [1] and sum(b.num_rows for b in got) == 6
+    monkeypatch.undo()
+    common.give_back()
