@@ -141,6 +141,16 @@ def test_word_vectors_leave_the_least_residual(spark):
     assert not got["alone"].any()
 
 
+def test_sorted_and_sliced_words_keep_whole_vectors(spark, monkeypatch):
+    from revlens.plans import catalog_vec
+    words = {w: [float(i), -1.0, 0.5 * i] for i, w in enumerate("dbeac")}
+    table = spark.createDataFrame(list(words.items()), "word string, vector array<double>")
+    monkeypatch.setattr(catalog_vec, "_word_vectors", lambda *_: table)
+    rows = [(r["word"], r["vector"], r["x0"]) for r in catalog_vec.sort_words(spark, "").collect()]
+    assert rows == [(w, words[w], words[w][0]) for w in sorted(words)]
+    assert [(r["word"], r["vector"]) for r in catalog_vec.slice_rows(spark, "").collect()] == [(w, words[w]) for w in "bcde"]
+
+
 # --- topics -----------------------------------------------------------------------------
 
 def test_gamma_functions():
