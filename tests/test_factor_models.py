@@ -294,3 +294,112 @@ def test_momentum_needs_fewer_rounds(spark):
         before = now
     d = BL.decompose(BL.Blocks(entries(spark, a)), starts, 3, tol=1e-9)
     assert d.rounds <= plain * 2 / 3 and np.allclose(d.values, s[:3], rtol=1e-7)
+
+
+# --- disk and time of the passes ---------------------------------------------------------
+
+def tables_of(spark):
+    """The names of the tables in the shared folder."""
+    import os
+    from revlens.session import scratch_path
+    top = scratch_path(spark, "").removeprefix("file:")
+    return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+
+def test_a_decomposition_leaves_no_table_of_its_rounds(spark):
+    rng = np.random.default_rng(11)
+    a = BL.Blocks(entries(spark, rng.normal(size=(60, 40)) @ np.diag(0.9 ** np.arange(40)) @ rng.normal(size=(40, 40))), n_cols=40)
+    before = tables_of(spark)
+    starts = BL.random_vectors(spark.range(40).select(F.col("id").alias("key"), F.xxhash64("id").alias("hash")), 8)
+    d = BL.decompose(a, starts, 3)
+    left = sorted(f.rsplit("-", 1)[0] for f in tables_of(spark) - before)
+    assert d.rounds > 3 and left == ["cols", "projected"]
+    assert d.rows.count() == 60 and d.cols.count() == 40  # which the results read
+
+
+def test_topic_and_paragraph_models_leave_no_table_of_old_passes(spark):
+    bow = two_themes(spark)
+    before = tables_of(spark)
+    assert len(TP.lda(bow, 2, passes=6, tol=0.0).bounds) == 6
+    left = [f.rsplit("-", 1)[0] for f in tables_of(spark) - before]
+    assert sorted(left) == ["lda_pass", "topics", "vocabulary"]
+    before = tables_of(spark)
+    VE.fit_paragraph_vectors(bow, size=8, passes=4)
+    left = [f.rsplit("-", 1)[0] for f in tables_of(spark) - before]
+    assert sorted(left) == ["paragraph_vectors", "paragraph_words"]
+
+
+def test_a_fitted_model_leaves_its_table_alone(spark, tmp_path):
+    from revlens.plans import common as C
+    (tmp_path / "documents.parquet").write_text("")
+    before = tables_of(spark)
+    got = C.fitted(spark, str(tmp_path), "some_model", lambda: BL.written(spark.range(5).repartition(3), "step").where("id > 1"))
+    left = tables_of(spark) - before
+    assert got.count() == 3 and len(left) == 1 and left.pop().startswith("fit-")
+
+
+def test_writing_a_table_frees_its_shuffle_files(spark):
+    import glob
+    import os
+    import time
+    top = spark.sparkContext._jsc.sc().getConf().get("spark.local.dir", "/tmp")
+    data = lambda: {f for f in glob.glob(f"{top}/blockmgr-*/*/shuffle_*.data") if os.path.getsize(f)}
+    before, kept = data(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = BL.written(spark.range(10_000).repartition(4, "id"), "dealt")
+    for _ in range(50):  # files go in the background
+        if not data() - before:
+            break
+        time.sleep(0.2)
+    assert not data() - before and table.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+
+
+def test_small_passes_read_the_blocks_where_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a = sparse(rng, 40, 25)
+    blocks = BL.Blocks(entries(spark, a), per_block=60)
+    state = BL.written(blocks.needs("row").withColumn("vec", F.lit(bytearray(np.array([2.0, 3.0]).tobytes()))), "state")
+
+    def work(number, block, factor, held):
+        assert held.shape == (len(block.rows), 2) and (held == [2, 3]).all()
+        yield from BL.batches(block.rows, block.times(factor))
+
+    f = rng.normal(size=(25, 4))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    near = blocks.run(table(spark, f), 4, work, BL.VECTORS_ARROW, state=state, state_width=2)
+    assert "Exchange" not in plan(near) and np.allclose(dense(near, 40), a @ f)
+    monkeypatch.setattr(BL, "BROADCAST", 0)
+    far = blocks.run(table(spark, f), 4, work, BL.VECTORS_ARROW, state=state, state_width=2)
+    assert "FlatMapCoGroups" not in plan(far) and far.rdd.getNumPartitions() == blocks.n_blocks > 2
+    assert np.allclose(dense(far, 40), a @ f)
+
+
+def test_document_shares_by_slices_equal_those_of_all_at_once(monkeypatch):
+    rng = np.random.default_rng(13)
+    block = block_of(np.c_[np.ones(30), sparse(rng, 30, 20)])
+    weights, prior = rng.gamma(1, 1, (21, 3)), np.array([0.1, 0.5, 1.0])
+    start = prior + rng.gamma(1, 2, (30, 3))
+
+    def plain(gamma):  # one document at a time, word by word
+        for i in range(30):
+            for _ in range(20):
+                theta, old = np.exp(TP.digamma(gamma[i]) - TP.digamma(gamma[i].sum())), gamma[i].copy()
+                gamma[i] = prior + sum(x * theta * weights[c] / (theta @ weights[c]) for r, c, x in zip(block.row, block.col, block.x) if r == i)
+                if np.abs(gamma[i] - old).mean() < TP.SETTLED:
+                    break
+        return gamma
+
+    want = plain(start.copy())
+    for size in (1, 7, 1 << 14):
+        monkeypatch.setattr(TP, "SHARE_ENTRIES", size)
+        assert np.allclose(TP.document_shares(block, weights, prior, start), want)
+
+
+def test_floats_travel_where_they_are_asked_for(spark):
+    rng = np.random.default_rng(14)
+    a, f = sparse(rng, 40, 25), rng.normal(size=(25, 4)).astype(np.float32)
+    blocks = BL.Blocks(entries(spark, a), per_block=60, real=np.float32)
+    floats = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(f)], BL.VECTORS)
+    got = {r["key"]: r["vec"] for r in blocks.times(floats, 4).collect()}
+    assert all(len(v) == 16 for v in got.values())
+    assert np.allclose([np.frombuffer(got[i], np.float32) for i in sorted(got)], (a @ f)[sorted(got)], atol=1e-5)
