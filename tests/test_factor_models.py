@@ -338,6 +338,15 @@ def test_a_fitted_model_leaves_its_table_alone(spark, tmp_path):
     assert got.count() == 3 and len(left) == 1 and left.pop().startswith("fit-")
 
 
+def test_cooccurrence_leaves_the_cleaned_tokens_alone(spark):
+    from tests.conftest import SF_SMALL
+    from revlens.plans import QUERIES
+    before = tables_of(spark)
+    got = QUERIES["cooccurrence"](spark, SF_SMALL)
+    left = [f.rsplit("-", 5)[0] for f in tables_of(spark) - before]
+    assert left == ["clean_tokens"] and got.count() > 0  # no table that they were made from
+
+
 def test_writing_a_table_frees_its_shuffle_files(spark):
     import glob
     import os
