@@ -151,6 +151,20 @@ def test_sorted_and_sliced_words_keep_whole_vectors(spark, monkeypatch):
     assert [(r["word"], r["vector"]) for r in catalog_vec.slice_rows(spark, "").collect()] == [(w, words[w]) for w in "bcde"]
 
 
+def test_the_table_of_word_vectors_keeps_floats(spark, monkeypatch):
+    from revlens.plans import catalog_vec
+    kept = {}
+
+    def fitted(spark, d, name, build):
+        kept[name] = build()
+        return kept[name]
+    monkeypatch.setattr(catalog_vec, "_clean_tokens", lambda *_: spark.createDataFrame(some_docs(), "doc_id long, tokens array<string>"))
+    monkeypatch.setattr(catalog_vec.C, "fitted", fitted)
+    got = catalog_vec._word_vectors(spark, "")
+    assert dict(kept["word_vectors"].dtypes)["vector"] == "array<float>" and dict(got.dtypes)["vector"] == "array<double>"
+    assert got.count() == 11 and all(len(r["vector"]) == 200 for r in got.collect())
+
+
 # --- topics -----------------------------------------------------------------------------
 
 def test_gamma_functions():
